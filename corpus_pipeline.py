@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,6 +13,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, langid.train(docs))
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans (operator 6): credentials that aren't widely copied examples are replaced; every document stays."""
+    from stepgrid.llm import secrets
+
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights (operator 4): a row for each pass of the mix over a document, with the words
+    that it takes."""
+    from stepgrid.llm import mixing
+
+    return mixing.mixed_documents(docs, mixing.mix(docs)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE (operator 7): the token ids of every document, read back to check and count them."""
     from stepgrid.llm import bpe
@@ -20,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, *tokenizer())
 
 
-STAGES = [("language", language), ("encode", encode)]
+STAGES = [("language", language), ("secrets", secrets), ("mix", mix), ("encode", encode)]
 ORACLE_SQL = None
 
 

@@ -21,6 +21,18 @@ def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.digests(webp.store(table(spark, sf_dir, "documents")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def tokenizer() -> tuple[str, str]:
     """Path and pattern of the public tokenizer that the queries use."""
     import public_tokenizers
@@ -42,5 +54,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media_webp, op7_byte_bpe, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media_webp, op4_mixing, op6_secrets, op7_byte_bpe, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {}
