@@ -13,6 +13,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_known(docs, langid.train(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (operator 8): one document of each group of exact and near copies stays."""
+    from stepgrid.llm import ngram_join
+
+    return ngram_join.keep_one(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secret scans (operator 6): credentials that aren't widely copied examples are replaced; every document stays."""
     from stepgrid.llm import secrets
@@ -36,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, *tokenizer())
 
 
-STAGES = [("language", language), ("secrets", secrets), ("mix", mix), ("encode", encode)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("encode", encode)]
 ORACLE_SQL = None
 
 

@@ -46,6 +46,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -54,5 +60,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media_webp, op4_mixing, op6_secrets, op7_byte_bpe, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_media_webp, op4_mixing, op6_secrets, op7_byte_bpe, op8_ngram_join, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {}
