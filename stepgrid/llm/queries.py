@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, url_filter
 from .common import held_out, table
 
 
@@ -34,8 +35,6 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import chat
-
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
@@ -76,8 +75,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import url_filter
-
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched", url_filter.fetched(F.col("page_id")))
     return url_filter.judge(captures, url_filter.sample_lists(pages)).select("page_id", "host", "fetched", "verdict", "domain", "since")
@@ -86,10 +83,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_multiprobe_lsh, op2_toxicity, op3_media_webp, op4_mixing, op5_chat_windows, op6_secrets, op7_byte_bpe, op8_ngram_join, op9_language_id, op10_url_filter)}
 
 
-def _oracles() -> dict[str, str]:
-    from . import chat
-
-    return {"op5_chat_windows": chat.SQL}
-
-
-ORACLE_SQL: dict[str, str] = _oracles()
+ORACLE_SQL: dict[str, str] = {"op5_chat_windows": chat.SQL, "op10_url_filter": url_filter.SQL}

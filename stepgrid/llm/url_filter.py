@@ -53,7 +53,7 @@ def sample_lists(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """A dated list for the query, by rule from the domains of the pages: every registrable domain of three labels is
     blocked from a day that its checksum gives, off for a while and on again; some hosts of blocked domains are allowed."""
     seen = pages.select(host(F.col(url_col)).alias("host")).filter("host is not null").distinct().withColumn("domain", F.substring_index("host", ".", -3))
-    mark = lambda c, n: F.pmod(F.crc32(F.encode(c, "utf-8")), F.lit(n)).cast("int")
+    mark = lambda c, n: (F.conv(F.substring(F.md5(F.encode(c, "utf-8")), 1, 7), 16, 10).cast("int") % n).cast("int")
     day = lambda c, plus: F.date_add(F.lit("2024-01-01").cast("date"), mark(c, 200) + plus)
     blocked = seen.select("domain").distinct().filter((mark(F.col("domain"), 3) == 0) | F.col("domain").rlike("pills|bets"))
     rows = lambda df, name, c, steps: df.select(F.lit(name).alias("list"), F.col(c).alias("domain"), F.explode(F.array(*(F.struct(F.lit(a).alias("action"), day(F.col(c), p).alias("since")) for a, p in steps))).alias("e")).select("list", "domain", "e.action", "e.since")
@@ -66,6 +66,8 @@ def fetched(page_id: Column) -> Column:
     """The fetch day that the query gives a page."""
     return F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(page_id * 37, F.lit(365)).cast("int"))
 
+_MARK = "CAST('0x' || substr(md5({c}), 1, 7) AS BIGINT)"
+_DAY = "CAST(DATE '2024-01-01' + CAST(" + _MARK + " % 200 + plus AS INTEGER) AS DATE)"
 #: The query's rows in DuckDB.
 SQL = rf"""
 WITH captures AS (
@@ -74,11 +76,21 @@ WITH captures AS (
 ), seen AS (
   SELECT DISTINCT host, array_to_string(string_split(host, '.')[-3:], '.') AS domain FROM captures WHERE host IS NOT NULL
 ), entries AS (
-  SELECT 'block' AS list, d AS domain, action, CAST(DATE '2024-01-01' + CAST(crc(d) % 200 + plus AS INTEGER) AS DATE) AS since
+  SELECT 'block' AS list, d AS domain, action, {_DAY.format(c="d")} AS since
   FROM (SELECT DISTINCT domain AS d FROM seen), (VALUES ('add', 0), ('remove', 60), ('add', 120)) s(action, plus)
-  WHERE crc(d) % 3 = 0 OR regexp_matches(d, 'pills|bets')
+  WHERE {_MARK.format(c="d")} % 3 = 0 OR regexp_matches(d, 'pills|bets')
   UNION ALL
-  SELECT 'allow', host, action, CAST(DATE '2024-01-01' + CAST(crc(host) % 200 + plus AS INTEGER) AS DATE)
-  FROM seen, (VALUES ('add', 30), ('remove', 150)) s(action, plus) WHERE crc(host) % 5 = 0
+  SELECT 'allow', host, action, {_DAY.format(c="host")}
+  FROM seen, (VALUES ('add', 30), ('remove', 150)) s(action, plus) WHERE {_MARK.format(c="host")} % 5 = 0
+), spans AS (
+  SELECT *, lead(since) OVER (PARTITION BY list, domain ORDER BY since) AS until FROM entries
+), active AS (
+  SELECT c.page_id, s.list, s.domain, s.since, len(c.host) - len(s.domain) AS depth
+  FROM captures c JOIN spans s ON (c.host = s.domain OR ends_with(c.host, '.' || s.domain))
+    AND s.action = 'add' AND s.since <= c.fetched AND (s.until IS NULL OR c.fetched < s.until)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY depth, list) AS place FROM active
 )
+SELECT c.page_id, c.host, c.fetched, coalesce(b.list, 'none') AS verdict, b.domain, b.since
+FROM captures c LEFT JOIN best b ON b.page_id = c.page_id AND b.place = 1
 """
