@@ -35,11 +35,11 @@ class Grid:
     def names(self) -> list[str]:
         return coordinates(self.ndim)
 
-    def layout(self) -> DataFrame:
-        """Start and count of every block: step, block, abs_block, s0.., n0.., size. The absolute number counts the
-        blocks of earlier steps."""
+    def layout(self, *more: Column) -> DataFrame:
+        """Start and count of every block: step, block, abs_block, s0.., n0.., size, and ``more`` aggregates of its
+        cells. The absolute number counts the blocks of earlier steps."""
         aggs = [x for k, c in enumerate(self.names) for x in (F.min(c).alias(f"s{k}"), (F.max(c) - F.min(c) + 1).alias(f"n{k}"))]
-        blocks = self.cells.groupBy("step", "block").agg(*aggs, F.count(F.lit(1)).alias("size"))
+        blocks = self.cells.groupBy("step", "block").agg(*aggs, F.count(F.lit(1)).alias("size"), *more)
         return absolute(blocks)
 
 
