@@ -95,7 +95,8 @@ class Mix:
         """The spans of words that the mix takes: key, start, pass, from, to (in words of the document)."""
         block = lambda at: F.floor(at / F.lit(BLOCK)).cast("long")
         cut = self.docs.filter("size > 0").select("key", "start", "size", "src", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + F.col("size") - 1))).alias("block"))
-        took = cut.join(self.slots.select("src", "block", "pass"), ["src", "block"])
+        # The slots grow with the input and their plan has no size to choose by: they are never broadcast.
+        took = cut.join(self.slots.select("src", "block", "pass").hint("merge"), ["src", "block"])
         low = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
         return took.select("key", "start", "pass", low.alias("from"), F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")).alias("to"))
 
