@@ -1,4 +1,4 @@
-"""Meshes and links, kept as attributes under ``/adios_schema/<mesh>/`` and ``/adios_link/<link>/``."""
+"""Meshes and links, kept as attributes under ``/mesh_schema/<mesh>/`` and ``/link_schema/<link>/``."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from ..functions.types import InvalidName
 from .dataset import Attribute, Dataset
 
 # Where meshes and links are described, and the kinds of meshes.
-SCHEMA, LINK = "/adios_schema", "/adios_link"
+SCHEMA, LINK = "/mesh_schema", "/link_schema"
 KINDS = ("uniform", "structured", "rectilinear", "unstructured")
 
 
@@ -63,14 +63,14 @@ def read(ds: Dataset, name: str) -> Mesh:
 def put_on(ds: Dataset, variable: str, mesh: str, centering: str = "point") -> None:
     """Say which mesh a variable lies on, and whether on its points or cells."""
     name = ds.variable(variable).name
-    ds.attribute(f"{name}/adios_schema", mesh, "string")
-    ds.attribute(f"{name}/adios_schema/centering", centering, "string")
+    ds.attribute(f"{name}/mesh_schema", mesh, "string")
+    ds.attribute(f"{name}/mesh_schema/centering", centering, "string")
 
 
 def mesh_of(ds: Dataset, variable: str) -> tuple[str, str]:
     name = ds.variable(variable).name
     try:
-        return ds.attributes[f"{name}/adios_schema"].values[0], ds.attributes[f"{name}/adios_schema/centering"].values[0]
+        return ds.attributes[f"{name}/mesh_schema"].values[0], ds.attributes[f"{name}/mesh_schema/centering"].values[0]
     except KeyError:
         raise InvalidName(f"{variable} lies on no mesh") from None
 
