@@ -152,11 +152,11 @@ def mixed_documents(docs: DataFrame, mixed: Mix, id_col: str = "doc_id", text_co
     """``docs`` as the mix takes them: one row for each pass over a document, its text cut to the words taken (a text
     taken whole stays as it is). Equal rows count once."""
     pieces = mixed.pieces().groupBy("key", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_cut"))
-    one = pieces.groupBy("key", "pass").agg(F.min_by("_cut", "start").alias("_cut"))
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    joined = docs.withColumn("_key", key).join(one.withColumnRenamed("key", "_key"), "_key")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    total = F.aggregate("_cut", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
-    part = F.array_join(F.transform("_cut", lambda x: F.array_join(F.slice("_words", (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")), " ")), "\n")
-    cut = joined.withColumn("_words", F.when(total < size(F.col(text_col)), words)).withColumn(text_col, F.when(F.col("_words").isNull(), F.col(text_col)).otherwise(part))
-    return cut.select(docs.columns)
+    one = pieces.groupBy("key", "pass").agg(F.min_by("_cut", "start").alias("cut"))
+    text = F.col(text_col).cast("string")
+    joined = docs.select(F.struct("*").alias("row"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key")).join(one, "key")
+    total = F.aggregate("cut", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
+    words = F.when(total < size(F.col("text")), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    part = F.array_join(F.transform("cut", lambda x: F.array_join(F.slice("words", (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")), " ")), "\n")
+    new = F.when(F.col("words").isNull(), F.col("text")).otherwise(part)
+    return joined.withColumn("words", words).select(F.col("row").withField(text_col, new).alias("row")).select("row.*")

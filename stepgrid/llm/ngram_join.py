@@ -334,6 +334,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each class, that of the class id."""
-    kept = classes(docs, id_col, text_col).filter("v = class_v").select(F.col("v").alias("_v"), F.col("rep").alias("_rep"))
-    rows = docs.withColumn("_v", identity(F.col(text_col).cast("string"))).join(kept, "_v").filter(F.col(id_col).cast("long").eqNullSafe(F.col("_rep")))
-    return rows.dropDuplicates(["_v"]).select(docs.columns)
+    kept = classes(docs, id_col, text_col).filter("v = class_v").select("v", "rep")
+    rows = docs.select(F.struct("*").alias("row"), identity(F.col(text_col).cast("string")).alias("v"), F.col(id_col).cast("long").alias("own")).join(kept, "v")
+    return rows.filter(F.col("own").eqNullSafe(F.col("rep"))).dropDuplicates(["v"]).select("row.*")

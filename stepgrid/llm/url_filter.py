@@ -7,7 +7,8 @@ specific active domain decides; on a tie the allow list does.
 
 Defined results: a URL that is null or has no host matches nothing and is kept; hosts are lower-case, without user,
 port or final dot; of entries of one list, domain and date the last by action holds ("remove" after "add"); an entry
-holds from its date on; a null fetch time matches nothing; repeated captures give repeated equal rows.
+holds from its date on; a null fetch time matches nothing; repeated captures give repeated equal rows;
+columns of a capture that are called as a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns that a verdict adds.
+RESULT = ("host", "verdict", "domain", "since")
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 
 
@@ -39,14 +42,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """``captures`` with host, verdict ("block", "allow" or "none"), the domain that decided, and since when it holds."""
-    rows = captures.withColumn("host", host(F.col(url_col)))
-    asked = rows.filter(F.col("host").isNotNull()).select("host", F.col(time_col).alias("at")).distinct()
+    own = [c for c in captures.columns if c not in RESULT]
+    rows = captures.select(F.struct(*own).alias("row"), host(F.col(url_col)).alias("host"), F.col(time_col).alias("at"))
+    asked = rows.filter(F.col("host").isNotNull()).select("host", "at").distinct()
     chain = asked.select("host", "at", F.posexplode(domains(F.col("host"))).alias("depth", "domain"))
     hit = chain.join(intervals(entries), "domain").filter((F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
     best = hit.groupBy("host", "at").agg(F.min(F.struct("depth", "list", "domain", "valid_from")).alias("best"))
-    found = best.select(F.col("host").alias("_host"), F.col("at").alias("_at"), F.col("best.list").alias("verdict"), F.col("best.domain").alias("domain"), F.col("best.valid_from").alias("since"))
-    joined = rows.join(found, (F.col("host") == F.col("_host")) & (F.col(time_col) == F.col("_at")), "left")
-    return joined.drop("_host", "_at").withColumn("verdict", F.coalesce("verdict", F.lit("none")))
+    joined = rows.join(best, ["host", "at"], "left")
+    return joined.select("row.*", "host", F.coalesce("best.list", F.lit("none")).alias("verdict"), F.col("best.domain").alias("domain"), F.col("best.valid_from").alias("since"))
 
 
 def sample_lists(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -66,6 +69,7 @@ def fetched(page_id: Column) -> Column:
     """The fetch day that the query gives a page."""
     return F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(page_id * 37, F.lit(365)).cast("int"))
 
+
 _MARK = "CAST('0x' || substr(md5({c}), 1, 7) AS BIGINT)"
 _DAY = "CAST(DATE '2024-01-01' + CAST(" + _MARK + " % 200 + plus AS INTEGER) AS DATE)"
 #: The query's rows in DuckDB.
