@@ -3,10 +3,10 @@
 Documents are sets of five-word shingles. In each of ``RUNS`` independent runs a set extends its path by every shingle
 whose hash under that path falls below 1 / (threshold * size of the set), one on average and a little more; two sets of
 Jaccard similarity s share an extension with probability 1 - exp(-s / threshold) or more. Sets of one path are a
-bucket. Small buckets are compared pair by pair; large ones are split again by longer paths, unless nearly all their
-members resemble one of them, which then stands for the bucket. Candidates pass a 64-function min-hash sketch, and
-every candidate component is then compared by brute force on the whole sets, block against block, so links and their
-numbers are exact within what the runs have found (missed: under 1 in 1000 pairs at the threshold, fewer above).
+bucket. Small buckets are compared pair by pair, after a 64-function min-hash sketch; large ones are split again by
+longer paths, until they are small, most of their members resemble one of them, or the path is at its longest: then all
+members are linked to that one. Every candidate component is compared by brute force on the whole sets, block against
+block, so links and their numbers are exact within what the runs have found (missed: under 1 in 1000 pairs at the threshold, fewer above).
 
 Defined results: words are runs of anything but ASCII white space, as they are; a text of fewer than five words is one
 shingle; a null text is the empty text; texts without words link to nothing, but equal ones share a class as all equal
@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from .common import Spans, materialise, mix64, steps, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Independent runs; members of a bucket that is compared pair by pair; path lengths after which what is left of a
-#: bucket is compared with all of it.
-RUNS, SMALL, DEEPEST = 12, 32, 6
+#: Independent runs; members of a bucket that is compared pair by pair; path length after which what is left of a
+#: bucket counts as one candidate group.
+RUNS, SMALL, DEEPEST = 12, 32, 4
 #: Min-hash functions of a sketch, two bits each, and equal ones that a pair at the threshold falls below once in 10^4.
 FUNCTIONS, AGREE = 64, 43
-#: Share of a large bucket that resembles its first member before the bucket counts as one group of copies.
+#: Share of a large bucket (of a path longer than one) that resembles its first member before the bucket counts as one
+#: candidate group.
 DENSE = 0.5
 #: Documents of a block of the exact comparison.
 BLOCK = 512
@@ -181,14 +182,14 @@ def candidates(nodes: DataFrame, texts_of) -> DataFrame:
         edges.append(small.alias("x").join(small.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.v") < F.col("y.v")) & alike("x", "y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
         hot = shared.filter(F.col("m") > SMALL).select(F.struct("v", "n", "s1", "s2").alias("x"), "pivot", "path", "m").withColumn("near", alike("x", "pivot"))
         edges.append(hot.filter("near").select(F.col("x.v").alias("a"), F.col("pivot.v").alias("b")))
-        dense = hot.groupBy("path").agg(F.count_if("near").alias("like"), F.first("m").alias("size")).filter(F.col("like") < F.col("size"))
-        rest = hot.join(dense.select("path", (F.col("like") >= DENSE * F.col("size")).alias("dense")), "path")
-        left = materialise(rest.select("path", "x.v", "x.n", "x.s1", "x.s2", "near", "dense"))
+        # A bucket without a better split is one candidate group, which the exact comparison takes apart block by block.
+        whole = F.lit(True) if level >= DEEPEST else (F.col("like") >= DENSE * F.col("size")) & F.lit(level > 1)
+        mixed = hot.groupBy("path").agg(F.count_if("near").alias("like"), F.first("m").alias("size")).filter(F.col("like") < F.col("size"))
+        rest = materialise(hot.join(mixed.select("path", whole.alias("whole")), "path").select("path", "x.v", F.col("pivot.v").alias("pivot"), "near", "whole"))
+        edges.append(rest.filter("whole and not near").select(F.col("v").alias("a"), F.col("pivot").alias("b")))
+        left = rest.filter("not whole")
         if left.isEmpty():
             break
-        if level >= DEEPEST:
-            edges.append(left.filter("not near").alias("x").join(left.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.v") != F.col("y.v")) & alike("x", "y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
-            break
         again = left.groupBy("v").agg(F.collect_list("path").alias("roots"))
         if texts is None:
             texts = materialise(texts_of(again.select("v")))
