@@ -4,7 +4,10 @@ Candidates are found by kind in every whole text. Their hashed values are counte
 repositories and owners: a value that several owners hold is a widely copied example, one of few owners that looks
 random is a live credential.
 
-Defined results: a null text is the empty text and has no spans; a null repository or owner counts as one of its own;
+A private key is one span from its BEGIN to its END line, and its value is the body between them.
+
+Defined results: a null text is the empty text and has no spans; a private key without END line ends with its base64
+lines; a null repository or owner counts as one of its own;
 positions are code points, ends exclusive; spans of different kinds may overlap; repeated rows give repeated equal rows.
 """
 
@@ -24,10 +27,18 @@ EXAMPLE_OWNERS, LIVE_BITS = 3, 2.5
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-FORMAT = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}"
-    r"|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}"
+# A private key runs from its BEGIN to its END line or, where no END line comes before the next dashes, to the end of the
+# base64 lines; line breaks may be written as escapes. Repeats of groups are possessive, so no text is scanned twice.
+KEY_HEAD, KEY_END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+_BLANK = r"(?:\s|\\[nrt])"
+_LINE = r"(?:\r\n?|\n|\\r\\n|\\[nr])[\x20\t]*+[A-Za-z0-9+/]++={0,2}+(?=[\x20\t]*+(?:[\r\n\\]|\z))"
+KEY = (
+    rf"{KEY_HEAD}(?:(?:[^-]++|-(?!----))*+{KEY_END}"
+    rf"|(?:{_BLANK}*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_BLANK}*+[A-Za-z0-9+/=]{{16,}}+|{_LINE})*+)"
 )
+# Of the places in a run where a token could start only the first can match: later ones close by are passed over.
+TOKEN = r"eyJ(?<!eyJ[A-Za-z0-9_-]{0,252}eyJ)[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+FORMAT = rf"{KEY}|gh[pousr]_[A-Za-z0-9]{{36,}}+|xox[abprs]-[A-Za-z0-9-]{{10,}}+|{TOKEN}"
 KINDS = ("assign", "access", "hex", "format")
 BASE = 3
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
@@ -47,11 +58,19 @@ def _matches(text: Column, pattern: str, kind: int, group: int) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
 
 
+def key_body(hit: Column) -> Column:
+    """What tells a private key from others: its text without the BEGIN and END lines and line breaks (a bare BEGIN line
+    is its own value). Other hits are their own values."""
+    body = F.regexp_replace(hit, rf"^{KEY_HEAD}|{KEY_END}$|{_BLANK}", "")
+    return F.when(hit.startswith("-----BEGIN ") & (body != ""), body).otherwise(hit)
+
+
 def spans(text: Column) -> Column:
     """All spans of a text in order of start, then kind: array of (start, kind, end, value)."""
     text = F.coalesce(text, F.lit(""))
     assign = F.filter(_matches(text, ASSIGN, 0, 1), lambda x: F.length(x["value"]) >= 6)
-    return F.array_sort(F.concat(assign, _matches(text, ACCESS, 1, 0), _matches(text, HEX, 2, 0), _matches(text, FORMAT, 3, 0)))
+    formats = F.transform(_matches(text, FORMAT, 3, 0), lambda x: x.withField("value", key_body(x["value"])))
+    return F.array_sort(F.concat(assign, _matches(text, ACCESS, 1, 0), _matches(text, HEX, 2, 0), formats))
 
 
 def joined(found: Column, most: int = len(KINDS)) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -218,6 +219,34 @@ def test_ownership_separates_examples_from_credentials(spark):
     assert out[0] == "password=correcthorse77 ok" and out[100] == "[SECRET] here" and out[101] is None and len(out) == 10
 
 
+def private_key(seed, width=64, kind="RSA ", end=True, line="\n"):
+    body = base64.b64encode(np.random.default_rng(seed).bytes(600)).decode()
+    lines = [body[i : i + width] for i in range(0, len(body), width)]
+    return line.join([f"-----BEGIN {kind}PRIVATE KEY-----", *lines, *([f"-----END {kind}PRIVATE KEY-----"] if end else [])])
+
+
+def test_private_keys_are_whole_values(spark):
+    jwt = "eyJ" + "hA" * 2000 + ".eyJ" + "z9" * 3000 + "." + "sig_-" * 700
+    rows = [(i, f"before {private_key(i)} after", f"owner{i}") for i in range(6)]
+    rows += [(10 + i, "copied " + private_key(99, width=(64, 32, 70)[i % 3]) + "\n", f"owner{i}") for i in range(4)]
+    cut = {
+        20: "x\n" + private_key(20, end=False) + "\nand so on, in words", 21: private_key(21, end=False)[:-5], 22: f'{{"k": "{private_key(22, line=chr(92) + "n")}", "n": 1}}',
+        23: "Y " + private_key(23).replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n", 1) + " Z", 24: private_key(24, end=False) + "\n" + private_key(25), 25: "auth " + jwt + " end",
+        26: "t ghp_" + "aB3" * 120 + " u", 27: "t xoxb-" + "12-ab" * 100 + " u", 28: "-----BEGIN PRIVATE KEY-----\nMIIabc\nDEF=\nmore of it", 29: "eyJ" * 100_000,
+    }
+    want = {
+        20: "x\n[SECRET]\nand so on, in words", 21: "[SECRET]", 22: '{"k": "[SECRET]", "n": 1}', 23: "Y [SECRET] Z", 24: "[SECRET]\n[SECRET]", 25: "auth [SECRET] end",
+        26: "t [SECRET] u", 27: "t [SECRET] u", 28: "[SECRET]\nmore of it", 29: cut[29],
+    }
+    rows += [(i, t, "owner0") for i, t in cut.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: (r.n_example, r.n_live) for r in secrets.report(secrets.scan(df)).collect()}
+    assert all(found[i] == (0, 1) for i in range(6)) and all(found[10 + i] == (1, 0) for i in range(4))
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all(out[i] == "before [SECRET] after" for i in range(6)) and all(out[10 + i] == rows[6 + i][1] for i in range(4))
+    assert {i: out[i] for i in cut} == want
+
+
 def test_redaction_keeps_rows_and_columns(odd):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
