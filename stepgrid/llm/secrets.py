@@ -80,11 +80,20 @@ def joined(found: Column, most: int = len(KINDS)) -> Column:
 
 
 def bits(value: Column) -> Column:
-    """Shannon entropy of the characters of a value, in bits a character."""
-    parts = F.split(value, "")
-    n = F.length(value)
-    share = lambda c: F.size(F.filter(parts, lambda d: d == c)) / n
-    return F.aggregate(F.array_distinct(parts), F.lit(0.0), lambda acc, c: acc - F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c))))
+    """Shannon entropy of the characters of a whole value, in bits a character: from the lengths of the runs that equal
+    characters form once sorted."""
+    parts = F.sort_array(F.filter(F.split(value, ""), lambda c: c != ""))
+    weight = lambda run: F.when(run > 0, run * F.log2(run)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("n"))
+
+    def step(acc: Column, c: Column) -> Column:
+        same = acc["last"] == c
+        return F.struct(
+            c.alias("last"), F.when(same, acc["run"] + 1).otherwise(1.0).alias("run"),
+            F.when(same, acc["sum"]).otherwise(acc["sum"] + weight(acc["run"])).alias("sum"), (acc["n"] + 1).alias("n"),
+        )
+
+    return F.aggregate(parts, start, step, lambda acc: F.when(acc["n"] > 0, F.log2(acc["n"]) - (acc["sum"] + weight(acc["run"])) / acc["n"]).otherwise(0.0))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -121,7 +130,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     """Find candidates and count their owners. What is kept of a document is its spans, not its text."""
     found = materialise(docs.select(*keyed(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), spans(F.col(text_col).cast("string")).alias("spans")))
     each = found.filter(F.size("spans") > 0).select("repo", "owner", F.explode("spans").alias("s"))
-    each = each.select(F.sha2(F.col("s.value"), 256).alias("hash"), (bits(F.substring("s.value", 1, 256)) >= LIVE_BITS).alias("random"), "repo", "owner")
+    each = each.select(F.sha2(F.col("s.value"), 256).alias("hash"), (bits(F.col("s.value")) >= LIVE_BITS).alias("random"), "repo", "owner")
     return Scan(found, ownership(each))
 
 

@@ -247,6 +247,16 @@ def test_private_keys_are_whole_values(spark):
     assert {i: out[i] for i in cut} == want
 
 
+def test_entropy_reads_the_whole_value(spark):
+    values = ["a" * 300 + "".join(f"{i * 7919 % 3600:x}Zq" for i in range(300)), "a" * 5000 + "b", "ab" * 400, "aabbcdef", "", "Zx81kQp7Lw22"]
+    want = [-sum(n / len(v) * np.log2(n / len(v)) for n in Counter(v).values()) for v in values]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, v string")
+    assert [r.b for r in df.select("doc_id", secrets.bits(F.col("v")).alias("b")).orderBy("doc_id").collect()] == pytest.approx(want)
+    docs = df.select("doc_id", F.concat(F.lit("token="), "v").alias("text"), F.lit("s").alias("source"))
+    found = {r.doc_id: r.n_live for r in secrets.report(secrets.scan(docs)).collect()}
+    assert [found[i] for i in range(6)] == [1, 0, 0, 1, 0, 1]
+
+
 def test_redaction_keeps_rows_and_columns(odd):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
