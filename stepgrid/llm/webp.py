@@ -39,8 +39,8 @@ NEAR = (
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE, MAX_LENGTH, MAX_BITS = 1 << 14, 4096, 15
-#: Payload bytes of one image at most; a multiple of 64 that every width below divides.
-STRIP = 1 << 26
+#: Payload bytes of one image at most: as many rows of 64 as an image holds.
+STRIP = 64 * MAX_SIDE
 
 
 # --------------------------------------------------------------------------------------------------------- prefix codes
@@ -484,6 +484,8 @@ def prefix_of(value: int) -> tuple[int, int, int]:
 
 #: Bytes that must repeat for a back-reference; positions with a hash of this remainder anchor the search.
 REPEAT, ANCHOR = 24, 8
+#: Farthest repeat that the distance alphabet of 40 symbols names.
+FARTHEST = (1 << 20) - len(NEAR)
 
 
 def repeats(data: np.ndarray) -> list[tuple[int, int, int]]:
@@ -501,7 +503,7 @@ def repeats(data: np.ndarray) -> list[tuple[int, int, int]]:
     found = sorted(zip(at[order][1:][same].tolist(), at[order][:-1][same].tolist()))
     raw, out, done = data.tobytes(), [], 0
     for p, q in found:
-        if p < done or raw[p : p + REPEAT] != raw[q : q + REPEAT]:
+        if p < done or p - q > FARTHEST or raw[p : p + REPEAT] != raw[q : q + REPEAT]:
             continue
         while p > done and q and raw[p - 1] == raw[q - 1]:
             p, q = p - 1, q - 1
@@ -600,12 +602,7 @@ def encode_samples(payload: bytes) -> bytes:
     out = []
     for at in range(0, len(payload), STRIP):
         strip = np.frombuffer(payload[at : at + STRIP], np.uint8)
-        width = 64
-        while len(strip) // width > MAX_SIDE or len(strip) % width:
-            width = width * 2 if len(strip) % (width * 2) == 0 else width + 64
-            if width > MAX_SIDE:
-                raise ValueError("no image size fits")
-        out.append(encode_image(strip, width))
+        out.append(encode_image(strip, 64))
     return b"".join(out)
 
 

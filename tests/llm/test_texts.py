@@ -44,6 +44,28 @@ def test_media_payloads(payload):
     assert webp.decode_samples(stored)[0] == payload
 
 
+def test_media_over_a_mebibyte(spark):
+    rng = np.random.default_rng(8)
+    noise, passage = rng.bytes(1 << 20), rng.bytes(4096)
+    few = rng.integers(0, 200, 64 * 65539, np.uint8).tobytes()
+    far = passage + noise[: (1 << 20) - 8192] + passage
+    payloads = [noise + rng.bytes(1050304 - len(noise)), noise + bytes(64 * 3), few, far, far + passage * 2, passage + noise + noise + passage]
+    for payload in payloads:
+        data, sizes = webp.decode_samples(webp.encode_samples(payload))
+        assert data == payload and all(w * h <= webp.STRIP for w, h in sizes)
+    spread = noise[: (1 << 20) - 48]
+    for data in (np.frombuffer(passage + spread + passage, np.uint8), np.frombuffer(passage + spread[:-8192] + passage, np.uint8)):
+        assert all(webp.prefix_of(back + len(webp.NEAR))[0] < 40 for _, _, back in webp.repeats(data))
+    assert len(webp.repeats(data)) == 1
+    edge = rng.bytes(64) + noise[: (1 << 20) - 128]
+    edge += edge[:64]
+    assert webp.decode_samples(webp.encode_samples(edge))[0] == edge
+    text = "".join(map(chr, rng.integers(32, 127, 1050304)))
+    df = spark.createDataFrame([(1, text), (2, text[:100])], "doc_id long, text string")
+    got = {r.doc_id: r.payload_sha256 for r in webp.digests(webp.store(df)).collect()}
+    assert got[1] == hashlib.sha256(text.encode()).hexdigest() and len(got) == 2
+
+
 FLAT = {i: 8 for i in range(256)}
 
 
