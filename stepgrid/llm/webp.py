@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import Spans
 
@@ -614,11 +615,15 @@ def images(stored: bytes) -> Iterator[bytes]:
         at += size
 
 
+def decode_images(stored: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(width, height, ARGB values row by row) of each image of a stored value."""
+    return map(decode, images(stored))
+
+
 def decode_samples(stored: bytes) -> tuple[bytes, list[tuple[int, int]]]:
     """(the samples, the sizes of the images) of what ``encode_samples`` stored."""
     data, sizes = [], []
-    for file in images(stored):
-        width, height, argb = decode(file)
+    for width, height, argb in decode_images(stored):
         data.append(((argb >> 8) & 255).astype(np.uint8).tobytes())
         sizes.append((width, height))
     return b"".join(data), sizes
@@ -637,6 +642,7 @@ def feature(data: bytes, sizes: list[tuple[int, int]]) -> str:
 
 
 # ---------------------------------------------------------------------------------------------------------- Spark layer
+IMAGES = ArrayType(StructType([StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("argb", ArrayType(IntegerType()))]))
 MEDIA = "{id} long, n_bytes long, payload_bytes long, media binary"
 
 
@@ -658,6 +664,34 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, MEDIA.format(id="id"))
 
 
+#: Pixels that one batch of the decode operator holds before it is handed on.
+BATCH_PIXELS = 1 << 20
+
+
+def pixels(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """``media`` with a column ``images``: of each lossless WebP file that ``media_col`` holds (one or several, one after
+    the other; none if null), its width, its height and its ARGB values row by row."""
+    image = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("argb", pa.list_(pa.int32()))])
+    names = [*media.columns, "images"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, ends, found = 0, [0], []
+            for i, stored in enumerate(batch[media_col]):
+                found += decode_images(stored.as_py() or b"")
+                ends.append(len(found))
+                if sum(len(a) for _, _, a in found) >= BATCH_PIXELS or i + 1 == batch.num_rows:
+                    at = np.cumsum([0, *(len(a) for _, _, a in found)]).astype(np.int32)
+                    flat = np.concatenate([np.zeros(0, np.uint32), *(a.astype(np.uint32) for _, _, a in found)]).view(np.int32)
+                    argb = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+                    size = [pa.array([x[k] for x in found], pa.int32()) for k in (0, 1)]
+                    column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([*size, argb], fields=list(image)))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, i + 1 - first).columns, column], names=names)
+                    first, ends, found = i + 1, [0], []
+
+    return media.mapInArrow(run, StructType([*media.schema.fields, StructField("images", IMAGES)]))
+
+
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 

@@ -66,6 +66,24 @@ def test_media_over_a_mebibyte(spark):
     assert got[1] == hashlib.sha256(text.encode()).hexdigest() and len(got) == 2
 
 
+def test_pixels_of_a_media_column(spark, odd, empty):
+    w = header(3, 2)
+    w.put(0, 1)
+    argb = np.array([0xFF102030, 0x80FF0001, 0, 0xFFFFFFFF, 0x7F000000, 0x01020304])
+    flat_image(w, argb, True)
+    own, two = file_of(w), webp.encode_samples(b"ab" * 96)
+    df = spark.createDataFrame([(1, bytearray(own), "x"), (2, bytearray(own + two), "y"), (3, None, "z")], "id long, media binary, more string")
+    got = {r.id: [(i.width, i.height, [v & 0xFFFFFFFF for v in i.argb]) for i in r.images] for r in webp.pixels(df).collect()}
+    second = (64, 3, [0xFF000000 | v << 8 for v in b"ab" * 96])
+    assert got == {1: [(3, 2, argb.tolist())], 2: [(3, 2, argb.tolist()), second], 3: []}
+    stored = webp.store(odd)
+    read = webp.pixels(stored)
+    assert read.columns == [*stored.columns, "images"] and webp.pixels(webp.store(empty)).count() == 0
+    for r in read.collect():
+        data, sizes = webp.decode_samples(bytes(r.media))
+        assert [(i.width, i.height) for i in r.images] == sizes and bytes(v >> 8 & 255 for i in r.images for v in i.argb) == data
+
+
 FLAT = {i: 8 for i in range(256)}
 
 
