@@ -2,7 +2,8 @@
 
 1. A character trigram model is counted over all texts.
 2. Words written with digits or signs for letters, letter by letter, or with stretched letters become lattices of what
-   each sign may stand for; the Viterbi path under the character model and the channel's costs is the restored word.
+   each sign may stand for; the Viterbi path under the character model and the channel's costs is the restored word. A
+   word may end in each gap between spaced letters, and does in gaps wider than the run's narrowest.
 3. A classifier learned from labelled rows scores the restored text: each stem (word or word prefix) that is
    significantly more frequent in toxic rows carries the probability of a toxic row that holds it, and a logistic model
    of a text's worst stem, how many such words it has and how many words at all gives the score.
@@ -14,6 +15,7 @@ repeated equal rows; a null id counts as the empty text for the fold.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,8 +33,8 @@ STEM_BITS = 22
 PREFIXES = range(4, 9)
 #: Chance, over all stems together, of taking up a stem that has nothing to do with the label.
 CHANCE = 0.05
-#: Longest run of signs, in bytes, that can be a disguised word.
-LONGEST = 48
+#: Longest span, in bytes, whose restored form is remembered, and how many are.
+LONGEST = 96
 REMEMBERED = 50_000
 
 # What a sign may stand for in place of a letter.
@@ -42,10 +44,12 @@ SIGNS = {
 }
 #: Channel costs (nats): a sign in place of a letter, a sign that is noise, a doubled letter kept from a longer run.
 COST_SIGN, COST_NOISE, COST_DOUBLE = 0.5, 12.0, 1.5
+#: Signs that may be punctuation, at the cost of a sign, where they end a word.
+PUNCTUATION = "!|+*(<"
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 SYMBOLS = len(_LETTERS) + 2  # 0: between words; the last: any other letter
-_SYMBOL = {c: i + 1 for i, c in enumerate(_LETTERS)}
+_SYMBOL = {" ": 0} | {c: i + 1 for i, c in enumerate(_LETTERS)}
 _OF_CODE = np.zeros(1 << 16, np.int64)
 _OF_CODE[0x100:] = SYMBOLS - 1
 _OF_CODE[0x2000:0x2070] = 0
@@ -92,30 +96,46 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def in_gap(c: str) -> bool:
+    return c < "\x80" and c not in SIGNS and not c.isalpha()
+
+
 def options(span: str) -> list[list[tuple[str, float]]]:
     """The lattice of a span: for each place, what it may stand for and the cost."""
     out: list[list[tuple[str, float]]] = []
+    narrow = min((len(list(g)) for gap, g in itertools.groupby(span, in_gap) if gap), default=0)
+    word = len(span.rstrip(PUNCTUATION))
     at = 0
     while at < len(span):
         c = span[at]
         n = 1
-        while at + n < len(span) and span[at + n] == c:
+        while at + n < len(span) and (in_gap(span[at + n]) if in_gap(c) else span[at + n] == c):
             n += 1
-        if c in SIGNS:
-            for _ in range(n):
-                out.append([*((x, COST_SIGN) for x in SIGNS[c]), ("", COST_NOISE)])
+        if in_gap(c):
+            out.append([("", 0.0), (" ", 0.0)] if n == narrow else [(" ", 0.0)])
+        elif c in SIGNS:
+            for i in range(at, at + n):
+                out.append([*((x, COST_SIGN) for x in SIGNS[c]), ("", COST_NOISE if i < word else COST_SIGN)])
         elif c.isalpha():
             out.append([(c, 0.0)] if n == 1 else [(c, 0.0 if n > 2 else COST_DOUBLE), (c + c, COST_DOUBLE if n > 2 else 0.0)])
         at += n
     return out
 
 
+def spelt(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
+
+
 def viterbi(span: str, model: np.ndarray) -> str:
-    """The most likely word behind a disguised span."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The most likely words behind a disguised span. A path is the pair of the path before it and its last letters."""
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for place in options(span):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in paths.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in paths.items():
             for letters, cost in place:
                 x, y, s = a, b, score - cost
                 for c in letters:
@@ -123,13 +143,15 @@ def viterbi(span: str, model: np.ndarray) -> str:
                     s += float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, word + letters)
+                    new[x, y] = (s, (path, letters) if letters else path)
         paths = new
-    return max((s + float(model[a, b, 0]), w) for (a, b), (s, w) in paths.items())[1]
+    ends = [(s + float(model[a, b, 0]), path) for (a, b), (s, path) in paths.items()]
+    top = max(s for s, _ in ends)
+    return max(spelt(path) for s, path in ends if s == top)
 
 
 def disguised(data: np.ndarray) -> list[tuple[int, int]]:
-    """Byte spans of lower-case text that may be disguised words: signs before letters, stretched letters, or single
+    """Byte spans of lower-case text that may be disguised words: signs beside letters, stretched letters, or single
     letters in a row."""
     letter, sign = _IS_LETTER[data], _IS_SIGN[data]
     start, end = words_of(data, _IS_LETTER | _IS_SIGN)
@@ -138,9 +160,10 @@ def disguised(data: np.ndarray) -> list[tuple[int, int]]:
     mark = np.zeros(len(data) + 1, np.int64)
     odd = np.zeros(len(data), bool)
     odd[:-1] = sign[:-1] & letter[1:]
+    odd[1:] |= sign[1:] & letter[:-1]
     odd[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
     np.cumsum(odd, out=mark[1:])
-    found = (mark[end] > mark[start]) & (end - start <= LONGEST)
+    found = mark[end] > mark[start]
     spans = list(zip(start[found].tolist(), end[found].tolist()))
     lead = np.concatenate(([0], np.cumsum(_IS_LEAD[data])))
     single = (lead[end] - lead[start] == 1) & (letter[start] | sign[start])
@@ -149,7 +172,7 @@ def disguised(data: np.ndarray) -> list[tuple[int, int]]:
     near[:-1] &= data[end[:-1]] != 10
     edge = np.diff(np.concatenate(([0], near.astype(np.int8), [0])))
     for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-        if b - a >= 2 and end[b] - start[a] <= 2 * LONGEST:
+        if b - a >= 2:
             spans.append((int(start[a]), int(end[b])))
     return spans
 
@@ -164,9 +187,11 @@ class Restorer:
     def word(self, span: bytes) -> bytes:
         word = self.known.get(span)
         if word is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            word = self.known[span] = viterbi(span.decode("utf-8", "ignore"), self.model).encode()
+            word = viterbi(span.decode("utf-8", "ignore"), self.model).encode()
+            if len(span) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[span] = word
         return word
 
     def restored(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +200,9 @@ class Restorer:
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 3)
         extra: dict[int, list[bytes]] = {}
         for a, b in disguised(np.frombuffer(raw, np.uint8)):
-            extra.setdefault(int(np.searchsorted(ends, a, "right")), []).append(self.word(raw[a:b]))
+            word = self.word(raw[a:b])
+            if word != raw[a:b].rstrip(PUNCTUATION.encode()):
+                extra.setdefault(int(np.searchsorted(ends, a, "right")), []).append(word)
         if extra:
             texts = [b"\n".join([t, *extra[i]]) if i in extra else t for i, t in enumerate(texts)]
             ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 3)

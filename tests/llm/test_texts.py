@@ -453,6 +453,37 @@ def test_disguised_words_are_restored(spark):
     assert b"idiot" in restored.tobytes() and b"moron" in restored.tobytes()
 
 
+def test_spaced_sentences_are_restored_whole(spark):
+    df = spark.createDataFrame([("you are an idiot and a stupid ass too",)] * 200, "text string")
+    model = toxicity.log_model(toxicity.trigram_counts(df))
+    restored = lambda t: toxicity.Restorer(model).restored([t.encode()])[0].tobytes().decode()[len(t) + 1 :]
+    spaced = lambda t, gap=" ", wide="  ": wide.join(gap.join(w) for w in t.split())
+    sentence = "you are an idiot and a stupid ass too"
+    for gap, wide in ((" ", "  "), (" ", " "), (".", " ."), ("  ", "  ")):
+        assert restored(spaced(sentence, gap, wide)) == sentence
+    long = " ".join([sentence] * 40)
+    assert restored(spaced(long)) == long and restored(spaced(long, " ", " ")) == long
+    assert restored("st" + "u" * 90 + "pid") == "stupid" and restored("you a$$") == "ass" and restored("idiot!") == "" and restored("idi0t!!") == "idiot"
+    assert len(restored(spaced("idiot " * 5000))) == 5000 * 6 - 1
+
+
+def test_toxicity_of_spaced_sentences(spark):
+    rng = np.random.default_rng(6)
+    words = "house river garden window letter morning paper bridge summer music table number".split()
+    rows, labels = [], []
+    for i in range(1200):
+        own = [words[k] for k in rng.integers(0, len(words), 8)]
+        if i % 4 == 0:
+            own[3:3] = ["you", "stupid", "idiot"]
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    asked = [(1, "y o u  s t u p i d  i d i o t"), (2, "y o u s t u p i d i d i o t " * 9), (3, "h o u s e  r i v e r  g a r d e n"), (4, "m u s i c t a b l e " * 9)]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 0), (3, 1), (None, 1), (7, None), (1, 0)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.train(odd, labels)).count() == odd.count()
