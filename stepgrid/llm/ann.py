@@ -7,9 +7,11 @@ to each partition that holds buckets it visits, merges there the candidates of a
 exact cosine. Large buckets are split over partitions, and their queries go to every part.
 
 ``m`` follows the number of vectors; how many buckets are visited follows from a bounded sample of queries, whose true
-neighbours are found by brute force: the least number that finds ``RECALL`` of them.
+neighbours are found by brute force: the least number that finds ``RECALL`` of them. Queries that find fewer than k
+visit ``PROBES`` buckets a table in a second round; those still short are compared with all rows, block by block.
 
-Defined results: vectors that are null, zero, of another length than the first by id, or that hold null or non-finite
+Defined results: vectors that are null, zero, of another length than the commonest (of equally common ones that of the
+smallest id), or that hold null or non-finite
 components take no part; a vector's own id is no candidate; ties go to the smaller id; equal ids count as one vector;
 fewer candidates give fewer rows; an empty table gives no rows.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import materialise, mix64
 
 NEAREST = 5
 TABLES, WIDTH = 6, 2.0
@@ -34,6 +36,8 @@ TABLES, WIDTH = 6, 2.0
 OCCUPANCY, PROBES, RECALL = 256, 512, 0.97
 #: Sample queries; vectors of a partition, about; rows of a bucket before it is split, at least; split buckets at most.
 SAMPLE, PART, SPLIT, SPLITS = 64, 20_000, 8192, 100_000
+#: Queries, about, that one pass of the exact search compares with all rows.
+BLOCK = 2048
 
 
 def template(m: int, count: int) -> np.ndarray:
@@ -104,10 +108,14 @@ def cosines(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (vectors * query).sum(1) / (np.sqrt((vectors * vectors).sum(1)) * np.sqrt((query * query).sum()))
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, k: int, repeated: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k nearest; with ``repeated``, ids may occur in several rows and count once."""
     score = cosines(vectors, query)
     score[ids == own] = -np.inf
-    if len(score) > 4 * k:
+    if repeated:
+        order = np.lexsort((ids, -score))
+        some = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+    elif len(score) > 4 * k:
         some = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
     else:
         some = np.arange(len(score))
@@ -147,7 +155,9 @@ def brute_force(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, m = np.asarray(batch.column(0)), _matrix(batch.column(1), dim)
-            yield _hits([(q, *nearest(ids, m, q, np.array(v), k)) for q, v in queries])
+            repeated = len(np.unique(ids)) < len(ids)
+            for at in range(0, len(queries), 256):
+                yield _hits([(q, *nearest(ids, m, q, np.array(v), k, repeated)) for q, v in queries[at : at + 256]])
 
     return best(vectors.mapInArrow(run, HIT), k)
 
@@ -157,8 +167,9 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     holds, among all other rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    first = rows.select("vec_id", F.size("v").alias("dim")).agg(F.min_by("dim", "vec_id").alias("dim"), F.count(F.lit(1)).alias("n")).first()
-    if not first["n"]:
+    lengths = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("id"))
+    first = lengths.orderBy(F.col("n").desc(), "id", "dim").first()
+    if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = first["dim"], first["n"]
     rows = rows.filter(F.size("v") == dim)
@@ -184,6 +195,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         if enough <= len(sets):
             sets = sets[:enough]
             break
+    all_sets = template(m, PROBES)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,34 +212,37 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
 
     names = ["part", "kind", "id", "v", "keys"]
 
-    def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                ids, m = np.asarray(piece.column(0)), _matrix(piece.column(1), dim)
-                u, out = unit(m), []
-                own = hashes.own(u)
-                raw = [x.tobytes() for x in m]
-                for i in range(len(ids)):
-                    by: dict[int, list[int]] = {}
-                    for key in own[i].tolist():
-                        salt = int(mix64(np.array([ids[i]], np.int64).astype(np.uint64))[0] % np.uint64(salts[key])) if key in salts else 0
-                        key = int(salted(np.array([key], np.uint64), np.array([salt]))[0])
-                        by.setdefault(key % parts, []).append(key)
-                    out += [(p, 0, ids[i], raw[i], ks) for p, ks in by.items()]
-                asked = np.flatnonzero(np.asarray(piece.column(2)))
-                if len(asked):
-                    visits = hashes.probes(u[asked], sets).reshape(len(asked), -1)
-                    for i, own_keys in zip(asked.tolist(), visits):
-                        by = {}
-                        for key in own_keys.tolist():
-                            for salt in range(salts.get(key, 1)):
-                                k2 = key if not salt else int(salted(np.array([key], np.uint64), np.array([salt]))[0])
-                                by.setdefault(k2 % parts, []).append(k2)
-                        out += [(p, 1, ids[i], raw[i], ks) for p, ks in by.items()]
-                p, kind, ident, v, ks = zip(*out)
-                lists = pa.array([np.array(x, np.uint64).astype(np.int64) for x in ks], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(kind, pa.int32()), pa.array(ident, pa.int64()), pa.array(v, pa.binary()), lists], names=names)
+    def placing(sets: np.ndarray):
+        def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    piece = batch.slice(at, 256)
+                    ids, m = np.asarray(piece.column(0)), _matrix(piece.column(1), dim)
+                    u, out = unit(m), []
+                    own = hashes.own(u)
+                    raw = [x.tobytes() for x in m]
+                    for i in range(len(ids)):
+                        by: dict[int, list[int]] = {}
+                        for key in own[i].tolist():
+                            salt = int(mix64(np.array([ids[i]], np.int64).astype(np.uint64))[0] % np.uint64(salts[key])) if key in salts else 0
+                            key = int(salted(np.array([key], np.uint64), np.array([salt]))[0])
+                            by.setdefault(key % parts, []).append(key)
+                        out += [(p, 0, ids[i], raw[i], ks) for p, ks in by.items()]
+                    asked = np.flatnonzero(np.asarray(piece.column(2)))
+                    if len(asked):
+                        visits = hashes.probes(u[asked], sets).reshape(len(asked), -1)
+                        for i, own_keys in zip(asked.tolist(), visits):
+                            by = {}
+                            for key in own_keys.tolist():
+                                for salt in range(salts.get(key, 1)):
+                                    k2 = key if not salt else int(salted(np.array([key], np.uint64), np.array([salt]))[0])
+                                    by.setdefault(k2 % parts, []).append(k2)
+                            out += [(p, 1, ids[i], raw[i], ks) for p, ks in by.items()]
+                    p, kind, ident, v, ks = zip(*out)
+                    lists = pa.array([np.array(x, np.uint64).astype(np.int64) for x in ks], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(kind, pa.int32()), pa.array(ident, pa.int64()), pa.array(v, pa.binary()), lists], names=names)
+
+        return place_all
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, buckets, ids, held, fixed, known, out = None, {}, [], [], None, None, []
@@ -253,5 +268,28 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         if out:
             yield _hits(out)
 
-    placed = rows.select("vec_id", "v", is_query.alias("asked")).mapInArrow(place_all, "part long, kind int, id long, v binary, keys array<long>")
-    return best(placed.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(look, HIT), k)
+    def found(asked: DataFrame, sets: np.ndarray) -> DataFrame:
+        placed = asked.mapInArrow(placing(sets), "part long, kind int, id long, v binary, keys array<long>")
+        return placed.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(look, HIT)
+
+    def short(hits: DataFrame) -> DataFrame:
+        """Ids of the queries with fewer than k hits."""
+        counts = hits.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+        return rows.filter(is_query).select("vec_id").distinct().join(counts, "vec_id", "left_anti")
+
+    hits = materialise(best(found(rows.select("vec_id", "v", is_query.alias("asked")), sets), k))
+    few = materialise(short(hits))
+    if few.isEmpty():
+        return hits
+    if len(sets) < len(all_sets):
+        again = rows.join(few.withColumn("asked", F.lit(True)), "vec_id", "left").select("vec_id", "v", F.coalesce("asked", F.lit(False)).alias("asked"))
+        hits = materialise(best(hits.select("query_id", "vec_id", "score").unionByName(found(again, all_sets)), k))
+        few = materialise(short(hits))
+    blocks = -(-few.count() // BLOCK)
+    whole = rows.join(few, "vec_id", "left_semi").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))))
+    for i in range(blocks):
+        queries = [(r.vec_id, r.v) for r in whole.filter(F.col("block") == i).collect()]
+        if queries:
+            exact = materialise(brute_force(rows, queries, k))
+            hits = hits.select("query_id", "vec_id", "score").unionByName(exact.select("query_id", "vec_id", "score"))
+    return best(hits, k) if blocks else hits

@@ -60,6 +60,20 @@ def test_one_bucket_may_hold_a_third(spark):
     assert len(got) == 60 and got[0] == [3, 6, 9, 12, 15] and got[300] == [0, 3, 6, 9, 12]
 
 
+def test_isolated_vectors_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24))
+    rows = [(i, (centres[i % 40] + 0.001 * rng.normal(size=24)).tolist()) for i in range(1, 4001)]
+    rows += [(50 * (100 + i), (-50 * rng.normal(size=24)).tolist()) for i in range(20)]
+    rows += [(50 * 100, rows[-20][1]), (0, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    asked = {i for i, v in rows if i % 50 == 0 and len(v) == 24}
+    assert set(got) == asked and all(len(set(v)) == 5 and q not in v for q, v in got.items())
+
+
 # ------------------------------------------------------------------------------------------------------------------ chats
 def test_chats_read_back(spark):
     rows = [
