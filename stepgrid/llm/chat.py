@@ -1,4 +1,4 @@
-"""Operator 5, chat formatting in budgeted windows (DataFrame functions only).
+"""Operator 5, chat formatting in windows (``windows``: DataFrame functions only).
 
 Turns are written as ``<|im_start|>role\\ntext<|im_end|>\\n`` with control strings inside roles and texts escaped. Prefix
 sums of turn tokens cut a conversation into windows of whole turns: a turn goes to the window that its first token falls
@@ -6,12 +6,16 @@ in. A later window repeats the system turn and the turn before it; repeated turn
 every assistant text is a target exactly once.
 
 Defined results: null texts and roles are empty; turns order by turn (null first), then role, then text; rows with a
-null conversation are one conversation; repeated rows are turns of their own; an empty table gives no rows; a turn
-over the budget is a window of its own or ends one.
+null conversation are one conversation; repeated rows are turns of their own; an empty table gives no rows.
+
+``windows`` keeps no budget: a window spans the starts of turns over ``SPAN`` tokens, so it holds up to SPAN - 1 tokens,
+its whole last turn, and the repeated turns of any length. The registered SQL fixes this grid. ``budgeted`` cuts so that
+a window with its repeats fits a budget; only a single turn over the budget exceeds it.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +44,17 @@ def tokens(text: Column) -> Column:
     return (F.ceil(F.length(text) / PER_TOKEN) + TURN_TOKENS).cast("long")
 
 
+def _rows(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    return turns.select(
+        F.col(id_col).cast("long").alias("conv_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(turn_col).cast("long").alias("turn"),
+        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    ).withColumn("tokens", tokens(F.col("text")))
+
+
 def windows(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, window, text, repeated (how many leading turns are repeats) and loss (start and end, in code points, of
     the assistant texts that are targets)."""
-    rows = turns.select(
-        F.col(id_col).cast("long").alias("conv_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    ).withColumns({"tokens": tokens(F.col("text")), "bucket": F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 62))) / BUCKET)})
+    rows = _rows(turns, id_col, turn_col, role_col, text_col).withColumn("bucket", F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 62))) / BUCKET))
     sums = rows.groupBy("key", "bucket").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("m"))
     upto = Window.partitionBy("key").orderBy("bucket")
     sums = sums.select("key", "bucket", (F.sum("n").over(upto) - F.col("n")).alias("before"), (F.sum("m").over(upto) - F.col("m")).alias("turns"), F.sum("n").over(Window.partitionBy("key")).alias("total"))
@@ -62,11 +70,41 @@ def windows(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", r
     own = own.select("conv_id", "key", "rank", "role", "text", F.explode("_in").alias("_in")).filter("_in.window is not null").select("conv_id", "key", "rank", "role", "text", "_in.window", "_in.part").select(keep)
     later = placed.select("key", "window").filter("window > 0").distinct()
     first = placed.filter(system).select("conv_id", "key", "rank", "role", "text", F.col("window").alias("_w")).join(later, "key").filter("window > _w").withColumn("part", F.lit(0)).select(keep)
-
+    return _formatted(own.unionByName(first))
+
+
+def budgeted(turns: DataFrame, budget: int = SPAN, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The columns of ``windows``, with windows that hold at most ``budget`` tokens, repeated turns included. A turn opens
+    a new window where it does not fit; the system turn, then the turn before, are repeated there if they fit with it.
+    Only a turn over the budget exceeds it, in a window of its own. One task cuts a conversation."""
+
+    def cut(part: pa.Table) -> pa.Table:
+        turns_ = sorted(part.to_pylist(), key=lambda r: (r["turn"] is not None, r["turn"] or 0, r["role"], r["text"]))
+        out, window, used = [], 0, 0
+        for rank, r in enumerate(turns_):
+            if rank and used + r["tokens"] > budget:
+                window, used = window + 1, 0
+                again = [(0, 0)] if turns_[0]["role"] == "system" else []
+                again += [(rank - 1, 1)] if rank > len(again) else []
+                for k, kind in again:
+                    if used + turns_[k]["tokens"] + r["tokens"] <= budget:
+                        out.append((turns_[k], k, window, kind))
+                        used += turns_[k]["tokens"]
+            out.append((r, rank, window, 2))
+            used += r["tokens"]
+        rows = [{"conv_id": r["conv_id"], "key": r["key"], "window": w, "rank": k, "role": r["role"], "text": r["text"], "part": kind} for r, k, w, kind in out]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("conv_id", pa.int64()), ("key", pa.string()), ("window", pa.int64()), ("rank", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("part", pa.int32())]))
+
+    rows = _rows(turns, id_col, turn_col, role_col, text_col)
+    return _formatted(rows.groupBy("key").applyInArrow(cut, "conv_id long, key string, window long, rank long, role string, text string, part int"))
+
+
+def _formatted(placed: DataFrame) -> DataFrame:
+    """The windows' texts from turns that are placed in windows, repeats included."""
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("text"))
     item = F.struct("part", "rank", F.concat(head, body, F.lit(END)).alias("text"), F.length(head).alias("head"), F.length(body).alias("body"), ((F.col("role") == "assistant") & (F.col("part") == 2)).alias("target"))
-    grouped = own.unionByName(first).groupBy("conv_id", "key", "window").agg(F.array_sort(F.collect_list(item)).alias("turns"))
+    grouped = placed.groupBy("conv_id", "key", "window").agg(F.array_sort(F.collect_list(item)).alias("turns"))
     spans = "array<struct<start:int,end:int>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("loss"))
 

@@ -100,6 +100,25 @@ def test_chats_read_back(spark):
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
+def test_budgeted_windows_fit(spark):
+    rng = np.random.default_rng(9)
+    rows = [(c, i, "system" if i == 0 and c % 2 else ("user", "assistant")[i % 2], "x" * int(rng.choice([0, 40, 384, 900, 1008, 1009, 3000]))) for c in range(12) for i in range(40)]
+    rows += [(50, i, ("user", "assistant")[i % 2], "y" * 384) for i in range(3)] + [(None, None, "user", "a <| b")]
+    rows += [(51, i, ("system", "user", "assistant", "user")[i], "z" * (384 if i else 40)) for i in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.budgeted(df)
+    pieces = 0
+    for r in formatted.collect():
+        turns = [p.split("\n", 1)[1] for p in r.text.split("<|im_end|>\n")[:-1]]
+        sizes = [math.ceil(len(chat_text) / 4) + 4 for chat_text in (t.replace("<\\|", "<|") for t in turns)]
+        assert sum(sizes) <= chat.SPAN or (len(sizes) == 1 and r.repeated == 0)
+        pieces += len(sizes) - r.repeated
+    assert pieces == len(rows) and formatted.filter("conv_id = 51 and window = 1 and repeated = 2").count() == 1 and formatted.filter("conv_id = 50").count() == 2
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"]
+    read = [sorted(map(repr, chat.read_back(f).select(names).collect())) for f in (formatted, chat.windows(df))]
+    assert read[0] == read[1] and chat.budgeted(df.limit(0)).count() == 0
+
+
 # -------------------------------------------------------------------------------------------------------------------- URLs
 def test_url_verdicts(spark):
     d = datetime.date
