@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most UTF-8 bytes of text that one vectorised step holds at once (a longer single text is a step of its own).
 STEP_BYTES = 1 << 20
+#: A key of more than 1 / HEAVY of all rows is heavy; at any size there are fewer than HEAVY of those.
+HEAVY = 10_000
+#: 64-bit words of a sieve at most (32 MiB), and bits that a key gets below that.
+SIEVE_WORDS, SIEVE_BITS = 1 << 22, 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +38,42 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def attach(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``values``: one row a key, whose ``size`` is the key's rows out of ``total``. Heavy keys, fewer
+    than ``HEAVY``, are joined by broadcast where their rows lie; a shuffle joins the others, none of which fills a task."""
+    limit = total // HEAVY
+    heavy = values.filter(F.col("size") > limit)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(values.filter(F.col("size") <= limit), key)
+    return light.unionByName(rows.join(F.broadcast(heavy), key))
+
+
+def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that passes every value of ``column`` in ``keys`` and few others: a Bloom filter of four bits a key in one
+    64-bit word. Its size is bounded, so beyond some 20 million keys it passes more and more values; what it passes must
+    be joined exactly."""
+    number, words = keys.count(), 64
+    while words < SIEVE_WORDS and words * 64 < SIEVE_BITS * number:
+        words *= 2
+
+    def place(c: Column) -> list[Column]:
+        h, g = F.xxhash64(F.lit(11), c), F.xxhash64(F.lit(12), c)
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(g, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
+        return [h.bitwiseAND(F.lit(words - 1)), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])]
+
+    word, mask = place(F.col(column))
+    held = keys.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table_ = np.zeros(words, np.int64)
+    table_[held["word"].to_numpy()] = held["mask"].to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(table_)
+
+    @F.pandas_udf("boolean")
+    def holds(word: pd.Series, mask: pd.Series) -> pd.Series:
+        mask = mask.to_numpy()
+        return pd.Series(sent.value[word.to_numpy()] & mask == mask)
+
+    return lambda c: holds(*place(c))
+
+
 def steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Cut a batch into runs of at most ``limit`` bytes: (index of the first, the texts as UTF-8; null is empty)."""
     first, run, held = 0, [], 0

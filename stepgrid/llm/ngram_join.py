@@ -6,7 +6,13 @@ Jaccard similarity s share an extension with probability 1 - exp(-s / threshold)
 bucket. Small buckets are compared pair by pair, after a 64-function min-hash sketch; large ones are split again by
 longer paths, until they are small, most of their members resemble one of them, or the path is at its longest: then all
 members are linked to that one. Every candidate component is compared by brute force on the whole sets, block against
-block, so links and their numbers are exact within what the runs have found (missed: under 1 in 1000 pairs at the threshold, fewer above).
+block, so links and their numbers are exact within what the runs have found.
+
+Recall: a pair at the threshold shares one extension a level on average at least, so a path of length ``DEEPEST`` with
+probability ``survival()`` a run; there are as many runs as keep the chance of missing it in all of them under ``MISS``.
+
+Shuffles: only paths that occur twice leave their node, and only texts that are compared leave their file (each behind
+a ``sieve``). Paths, hubs of components and classes that hold many rows are joined by ``attach``, not in one task.
 
 Defined results: words are runs of anything but ASCII white space, as they are; a text of fewer than five words is one
 shingle; a null text is the empty text; texts without words link to nothing, but equal ones share a class as all equal
@@ -16,6 +22,7 @@ input gives one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +30,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, materialise, mix64, steps, words_of
+from .common import Spans, attach, materialise, mix64, sieve, steps, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Independent runs; members of a bucket that is compared pair by pair; path length after which what is left of a
-#: bucket counts as one candidate group.
-RUNS, SMALL, DEEPEST = 12, 32, 4
+#: Members of a bucket that is compared pair by pair; path length after which what is left of a bucket counts as one
+#: candidate group; chance that a pair at the threshold is missed, at most.
+SMALL, DEEPEST, MISS = 32, 4, 0.001
+
+
+def survival(depth: int = DEEPEST) -> float:
+    """Chance that a pair with one shared extension a level, on average, shares a path of this length."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - math.exp(-q)
+    return q
+
+
+#: Independent runs.
+RUNS = math.ceil(math.log(MISS) / math.log(1 - survival()))
 #: Min-hash functions of a sketch, two bits each, and equal ones that a pair at the threshold falls below once in 10^4.
 FUNCTIONS, AGREE = 64, 43
 #: Share of a large bucket (of a path longer than one) that resembles its first member before the bucket counts as one
@@ -151,16 +170,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, label) of every end of an (a, b) edge: the least end of its connected component, by alternating large-star
     and small-star rounds."""
 
-    def star(by: DataFrame) -> DataFrame:
-        return by.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    def star(by: DataFrame, total: int) -> DataFrame:
+        return attach(by, by.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("size")), "a", total)
 
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     seen = mark(now)
-    while True:
+    while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(star(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        small = large.join(star(large), "a")
+        large = star(both, 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        small = star(large, 2 * seen[0])
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         now = materialise(small)
         if (got := mark(now)) == seen:
@@ -175,17 +194,24 @@ def candidates(nodes: DataFrame, texts_of) -> DataFrame:
     edges: list[DataFrame] = []
     level, texts = 1, None
     while True:
-        each = nodes.select("v", "n", "s1", "s2", F.explode("paths").alias("path")).distinct() if level > 1 else nodes.select("v", "n", "s1", "s2", F.explode("paths").alias("path"))
-        counts = each.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("v", "n", "s1", "s2")).alias("pivot")).filter("m > 1")
-        shared = materialise(each.join(counts, "path"))
-        small = shared.filter(F.col("m") <= SMALL).select("path", "v", "n", "s1", "s2")
-        edges.append(small.alias("x").join(small.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.v") < F.col("y.v")) & alike("x", "y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
-        hot = shared.filter(F.col("m") > SMALL).select(F.struct("v", "n", "s1", "s2").alias("x"), "pivot", "path", "m").withColumn("near", alike("x", "pivot"))
+        found = nodes.select("v", "n", "s1", "s2", F.explode("paths").alias("path"))
+        each = found.distinct() if level > 1 else found
+        counts = materialise(each.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+        total = each.count()
+        shared = materialise(attach(each.filter(sieve(counts, "path")(F.col("path"))), counts, "path", total))
+        # A small bucket is one short list; its pairs are made and compared in place.
+        members = shared.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("v", "n", "s1", "s2"))).alias("all"))
+        ahead = members.select("all", F.posexplode("all").alias("at", "x"))
+        pairs = ahead.select("x", F.explode(F.slice("all", F.col("at") + 2, SMALL)).alias("y"))
+        edges.append(pairs.filter(alike("x", "y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
+        hot = shared.filter(F.col("size") > SMALL).select("path", "size", F.struct("v", "n", "s1", "s2").alias("x"))
+        pivots = hot.groupBy("path").agg(F.min("x").alias("pivot"), F.first("size").alias("size"))
+        hot = materialise(attach(hot.drop("size"), pivots, "path", total).withColumn("near", alike("x", "pivot")))
         edges.append(hot.filter("near").select(F.col("x.v").alias("a"), F.col("pivot.v").alias("b")))
         # A bucket without a better split is one candidate group, which the exact comparison takes apart block by block.
         whole = F.lit(True) if level >= DEEPEST else (F.col("like") >= DENSE * F.col("size")) & F.lit(level > 1)
-        mixed = hot.groupBy("path").agg(F.count_if("near").alias("like"), F.first("m").alias("size")).filter(F.col("like") < F.col("size"))
-        rest = materialise(hot.join(mixed.select("path", whole.alias("whole")), "path").select("path", "x.v", F.col("pivot.v").alias("pivot"), "near", "whole"))
+        mixed = hot.groupBy("path").agg(F.count_if("near").alias("like"), F.first("size").alias("size")).filter(F.col("like") < F.col("size"))
+        rest = materialise(attach(hot.select("path", "x.v", F.col("pivot.v").alias("pivot"), "near"), mixed.select("path", "size", whole.alias("whole")), "path", total))
         edges.append(rest.filter("whole and not near").select(F.col("v").alias("a"), F.col("pivot").alias("b")))
         left = rest.filter("not whole")
         if left.isEmpty():
@@ -248,27 +274,25 @@ def _linked(v: list[bytes], side: np.ndarray, texts: list[str | None]) -> list[t
     links[:left] += linked.sum(1)
     if left < len(v):
         links[left:] += linked[:, left:].sum(0)
-    parent = list(range(len(v)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i in np.flatnonzero(linked.any(1)).tolist():
-        for j in np.flatnonzero(linked[i]).tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[a if v[b] < v[a] else b] = b if v[b] < v[a] else a
-    return [(v[i], int(links[i]), v[root(i)]) for i in range(len(v)) if links[i]]
+    # Each member takes the least root among its links until none changes (v is sorted on each side, not over both).
+    rank = np.argsort(np.argsort(np.array(v, object), kind="stable"), kind="stable")
+    root = rank.copy()
+    while True:
+        new = np.minimum(root[:left], np.where(linked, root, len(v)).min(1))
+        other = np.minimum(root, np.where(linked, new[:, None], len(v)).min(0))
+        other[:left] = np.minimum(other[:left], new)
+        if (other == root).all():
+            break
+        root = other
+    by_rank = np.argsort(rank)
+    return [(v[i], int(links[i]), v[by_rank[root[i]]]) for i in range(len(v)) if links[i]]
 
 
 def verify(labels: DataFrame, texts: DataFrame) -> DataFrame:
     """(v, links, root) rows: exact links of members of each candidate component, block against block, and where they
     hang together."""
-    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = labels.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).join(texts, "v")
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = attach(labels, sizes, "label", labels.count()).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).join(texts, "v")
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = paired.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "v", (F.col("block") > F.col("other")).cast("int").alias("side"), "text")
 
@@ -313,8 +337,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     nodes = materialise(nodes.groupBy("v").agg(*(F.first(c).alias(c) for c in ("n", "s1", "s2", "paths"))))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        found = named.select("v", "text").join(wanted.distinct(), "v", "left_semi")
-        return found.groupBy("v").agg(F.first("text").alias("text"))
+        wanted = materialise(wanted.distinct())
+        found = named.filter(sieve(wanted, "v")(F.col("v"))).groupBy("v").agg(F.first("text").alias("text"))
+        return found.join(wanted, "v", "left_semi")
 
     labels = materialise(components(materialise(candidates(nodes, texts_of))))
     links = materialise(verify(labels, texts_of(labels.select("v"))))
@@ -322,19 +347,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     joined = components(links.select(F.col("v").alias("a"), F.col("root").alias("b")))
     ids = named.groupBy("v").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     known = materialise(ids.join(joined, "v", "left").join(number, "v", "left").select("v", "rep", "copies", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
-    best = known.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "v")).alias("best"))
-    return known.join(best, "label").select("v", "rep", "copies", F.col("best.v").alias("class_v"), F.col("best.rep").alias("class_id"), "links")
+    best = known.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "v")).alias("best"), F.count(F.lit(1)).alias("size"))
+    return attach(known, best, "label", known.count()).select("v", "rep", "copies", F.col("best.v").alias("class_v"), F.col("best.rep").alias("class_id"), "links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_links (different texts linked to this one's) and n_copies (rows of this text) of every row."""
-    found = classes(docs, id_col, text_col)
+    found = classes(docs, id_col, text_col).withColumn("size", F.col("copies"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), identity(F.col(text_col).cast("string")).alias("v"))
-    return rows.join(found, "v").select("doc_id", "class_id", F.col("links").alias("n_links"), F.col("copies").alias("n_copies"))
+    return attach(rows, found, "v", rows.count()).select("doc_id", "class_id", F.col("links").alias("n_links"), F.col("copies").alias("n_copies"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each class, that of the class id."""
-    kept = classes(docs, id_col, text_col).filter("v = class_v").select("v", "rep")
-    rows = docs.select(F.struct("*").alias("row"), identity(F.col(text_col).cast("string")).alias("v"), F.col(id_col).cast("long").alias("own")).join(kept, "v")
-    return rows.filter(F.col("own").eqNullSafe(F.col("rep"))).dropDuplicates(["v"]).select("row.*")
+    """One row of ``docs`` for each class, that of the class id. Rows whose class is but themselves stay where they are;
+    the others are reduced to one a text before they are shuffled."""
+    found = materialise(classes(docs, id_col, text_col).filter("copies > 1 or links > 0").select("v", "class_v"))
+    several = sieve(found, "v")
+    rows = docs.select(F.struct("*").alias("row"), identity(F.col(text_col).cast("string")).alias("v"), F.col(id_col).cast("long").alias("own"))
+    rows = rows.withColumn("several", several(F.col("v")))
+    first = rows.filter("several").groupBy("v").agg(F.min_by("row", F.struct(F.col("own").isNull(), "own")).alias("row"))
+    gone = found.filter("v != class_v").select("v")
+    return rows.filter("not several").select("row.*").unionByName(first.join(gone, "v", "left_anti").select("row.*"))
