@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -95,28 +96,58 @@ def test_chats_read_back(spark):
         assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     later = formatted.filter("conv_id = 1 and window > 0").collect()
-    assert later and all(r.text.startswith("<|im_start|>system\nbe kind<|im_end|>\n") for r in later)
+    assert [r.over for r in later].count(True) == 1 and all(r.over or r.text.startswith("<|im_start|>system\nbe kind<|im_end|>\n") for r in later)
     assert formatted.filter("conv_id = 4").count() > 5
     assert chat.read_back(chat.windows(df.limit(0))).count() == 0
 
 
-def test_budgeted_windows_fit(spark):
+def brute_windows(turns):
+    """(turns, repeats) of the windows of one conversation of (role, tokens), turn by turn."""
+    system = turns[0][1] if turns[0][0] == "system" and turns[0][1] <= chat.BUDGET // 2 else 0
+    room, at, cells, out = chat.BUDGET - system, 0, {}, []
+    for i, (_, n) in enumerate(turns):
+        if i or not system:
+            cells.setdefault(at // room, []).append((i, n, (at + n - 1) // room != at // room))
+            at += n
+        else:
+            cells[0] = [(0, 0, False)]
+    for c in sorted(cells):
+        inner, cross = [x for x in cells[c] if not x[2]], [x for x in cells[c] if x[2]]
+        for part in [cells[c]] if not inner or sum(n for _, n, _ in cells[c]) <= room else [inner, cross] if cross else [inner]:
+            own = [i for i, _, _ in part]
+            used, again = sum(turns[i][1] for i in own), []
+            for k in [0] if system and 0 not in own else []:
+                again += [k] if used + system <= chat.BUDGET else []
+            before = own[0] - 1
+            if before >= 0 and not (system and before == 0) and used + sum(turns[k][1] for k in again) + turns[before][1] <= chat.BUDGET:
+                again.append(before)
+            out.append((again + own, len(again)))
+    return out
+
+
+def test_windows_keep_the_budget(spark, sf):
     rng = np.random.default_rng(9)
-    rows = [(c, i, "system" if i == 0 and c % 2 else ("user", "assistant")[i % 2], "x" * int(rng.choice([0, 40, 384, 900, 1008, 1009, 3000]))) for c in range(12) for i in range(40)]
+    rows = [(c, i, "system" if i == 0 and c % 2 else ("user", "assistant")[i % 2], " ".join(["x" * 9] * int(rng.choice([0, 3, 30, 70, 83, 84, 85, 86, 200])))) for c in range(24) for i in range(60)]
     rows += [(50, i, ("user", "assistant")[i % 2], "y" * 384) for i in range(3)] + [(None, None, "user", "a <| b")]
     rows += [(51, i, ("system", "user", "assistant", "user")[i], "z" * (384 if i else 40)) for i in range(4)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    formatted = chat.budgeted(df)
-    pieces = 0
-    for r in formatted.collect():
-        turns = [p.split("\n", 1)[1] for p in r.text.split("<|im_end|>\n")[:-1]]
-        sizes = [math.ceil(len(chat_text) / 4) + 4 for chat_text in (t.replace("<\\|", "<|") for t in turns)]
-        assert sum(sizes) <= chat.SPAN or (len(sizes) == 1 and r.repeated == 0)
-        pieces += len(sizes) - r.repeated
-    assert pieces == len(rows) and formatted.filter("conv_id = 51 and window = 1 and repeated = 2").count() == 1 and formatted.filter("conv_id = 50").count() == 2
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"]
-    read = [sorted(map(repr, chat.read_back(f).select(names).collect())) for f in (formatted, chat.windows(df))]
-    assert read[0] == read[1] and chat.budgeted(df.limit(0)).count() == 0
+    rows += [(52, i, "system" if not i else "user", "z" * (600 if not i else 40)) for i in range(9)]
+    odd = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    for df in (odd, table):
+        by = {}
+        for r in df.collect():
+            by.setdefault(r.conv_id, []).append((-1 if r.turn is None else r.turn, r.role or "", r.text or ""))
+        want = {}
+        for c, turns in by.items():
+            turns.sort()
+            sized = [(r, len(re.findall(chat.PIECES, x)) + chat.TURN_TOKENS) for _, r, x in turns]
+            want[c] = [(sum(sized[i][1] for i in w), n, [turns[i][2] for i in w]) for w, n in brute_windows(sized)]
+        got = {}
+        for r in chat.windows(df).orderBy("window").collect():
+            texts = [p.split("\n", 1)[1].replace("<\\|", "<|").replace("\\\\", "\\") for p in r.text.split("<|im_end|>\n")[:-1]]
+            assert r.over == (r.tokens > chat.BUDGET) and (not r.over or len(texts) == 1 and r.repeated == 0)
+            got.setdefault(r.conv_id, []).append((r.tokens, r.repeated, texts))
+        assert got == want
 
 
 # -------------------------------------------------------------------------------------------------------------------- URLs
