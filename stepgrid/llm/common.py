@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,31 +47,49 @@ def attach(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFram
     return light.unionByName(rows.join(F.broadcast(heavy), key))
 
 
-def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test that passes every value of ``column`` in ``keys`` and few others: a Bloom filter of four bits a key in one
-    64-bit word. Its size is bounded, so beyond some 20 million keys it passes more and more values; what it passes must
-    be joined exactly."""
-    number, words = keys.count(), 64
-    while words < SIEVE_WORDS and words * 64 < SIEVE_BITS * number:
-        words *= 2
+class Sieve:
+    """A test that passes every key of ``keys`` and few others: a Bloom filter of four bits a key in one 64-bit word. A
+    key is a long whose bits are well mixed, as those of a hash. The filter's size is bounded, so beyond some 20 million
+    keys it passes more and more values; what it passes must be joined exactly."""
 
-    def place(c: Column) -> list[Column]:
-        h, g = F.xxhash64(F.lit(11), c), F.xxhash64(F.lit(12), c)
-        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(g, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
-        return [h.bitwiseAND(F.lit(words - 1)), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])]
+    def __init__(self, keys: DataFrame, key: str):
+        number, self.words = keys.count(), 64
+        while self.words < SIEVE_WORDS and self.words * 64 < SIEVE_BITS * number:
+            self.words *= 2
+        k = F.col(key)
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, s).bitwiseAND(F.lit(63)).cast("int")) for s in (40, 46, 52, 58)]
+        mask = bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+        held = keys.select(k.bitwiseAND(F.lit(self.words - 1)).alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        table_ = np.zeros(self.words, np.uint64)
+        table_[held["word"].to_numpy()] = held["mask"].to_numpy().view(np.uint64)
+        self.sent = keys.sparkSession.sparkContext.broadcast(table_)
 
-    word, mask = place(F.col(column))
-    held = keys.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table_ = np.zeros(words, np.int64)
-    table_[held["word"].to_numpy()] = held["mask"].to_numpy()
-    sent = keys.sparkSession.sparkContext.broadcast(table_)
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        k, one, six = keys.view(np.uint64), np.uint64(1), np.uint64(63)
+        mask = one << (k >> np.uint64(40) & six) | one << (k >> np.uint64(46) & six) | one << (k >> np.uint64(52) & six) | one << (k >> np.uint64(58))
+        return self.sent.value[(k & np.uint64(self.words - 1)).astype(np.int64)] & mask == mask
 
-    @F.pandas_udf("boolean")
-    def holds(word: pd.Series, mask: pd.Series) -> pd.Series:
-        mask = mask.to_numpy()
-        return pd.Series(sent.value[word.to_numpy()] & mask == mask)
+    def passes(self, key: Column) -> Column:
+        """Whether a key passes."""
 
-    return lambda c: holds(*place(c))
+        @F.arrow_udf("boolean")
+        def passed(keys: pa.Array) -> pa.Array:
+            return pa.array(self.test(keys.to_numpy(zero_copy_only=False)))
+
+        return passed(key)
+
+    def passing(self, keys: Column) -> Column:
+        """The keys of an array that pass."""
+
+        @F.arrow_udf("array<long>")
+        def kept(lists: pa.Array) -> pa.Array:
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            good = self.test(values)
+            upto = np.concatenate(([0], np.cumsum(good)))
+            offsets = np.asarray(lists.offsets)
+            return pa.ListArray.from_arrays(pa.array(upto[offsets - offsets[0]], pa.int32()), pa.array(values[good]))
+
+        return kept(keys)
 
 
 def steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -134,8 +152,6 @@ def words_of(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def sum_vectors(parts: DataFrame) -> DataFrame:
     """Add up (key string, vec binary of float64) rows by key; each task has pre-summed its rows to one per key."""
-    import pyarrow as pa
-
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:

@@ -12,7 +12,7 @@ Recall: a pair at the threshold shares one extension a level on average at least
 probability ``survival()`` a run; there are as many runs as keep the chance of missing it in all of them under ``MISS``.
 
 Shuffles: only paths that occur twice leave their node, and only texts that are compared leave their file (each behind
-a ``sieve``). Paths, hubs of components and classes that hold many rows are joined by ``attach``, not in one task.
+a ``Sieve``). Paths, hubs of components and classes that hold many rows are joined by ``attach``, not in one task.
 
 Defined results: words are runs of anything but ASCII white space, as they are; a text of fewer than five words is one
 shingle; a null text is the empty text; texts without words link to nothing, but equal ones share a class as all equal
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, attach, materialise, mix64, sieve, steps, words_of
+from .common import Sieve, Spans, attach, materialise, mix64, steps, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Members of a bucket that is compared pair by pair; path length after which what is left of a bucket counts as one
@@ -194,11 +194,10 @@ def candidates(nodes: DataFrame, texts_of) -> DataFrame:
     edges: list[DataFrame] = []
     level, texts = 1, None
     while True:
-        found = nodes.select("v", "n", "s1", "s2", F.explode("paths").alias("path"))
-        each = found.distinct() if level > 1 else found
-        counts = materialise(each.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        total = each.count()
-        shared = materialise(attach(each.filter(sieve(counts, "path")(F.col("path"))), counts, "path", total))
+        counts = materialise(nodes.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+        total = nodes.agg(F.sum(F.size("paths"))).first()[0] or 0
+        each = materialise(nodes.withColumn("paths", Sieve(counts, "path").passing(F.col("paths"))).filter(F.size("paths") > 0))
+        shared = materialise(attach(each.select("v", "n", "s1", "s2", F.explode("paths").alias("path")), counts, "path", total))
         # A small bucket is one short list; its pairs are made and compared in place.
         members = shared.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("v", "n", "s1", "s2"))).alias("all"))
         ahead = members.select("all", F.posexplode("all").alias("at", "x"))
@@ -224,7 +223,7 @@ def candidates(nodes: DataFrame, texts_of) -> DataFrame:
             for batch in batches:
                 yield from _nodes(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
 
-        nodes = texts.join(again, "v").select("v", "text", "roots").mapInArrow(run, NODES)
+        nodes = materialise(texts.join(again, "v").select("v", "text", "roots").mapInArrow(run, NODES).withColumn("paths", F.array_distinct("paths")))
         level += 1
     out = edges[0]
     for e in edges[1:]:
@@ -338,7 +337,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         wanted = materialise(wanted.distinct())
-        found = named.filter(sieve(wanted, "v")(F.col("v"))).groupBy("v").agg(F.first("text").alias("text"))
+        found = named.filter(Sieve(wanted.select(F.xxhash64("v").alias("key")), "key").passes(F.xxhash64("v"))).groupBy("v").agg(F.first("text").alias("text"))
         return found.join(wanted, "v", "left_semi")
 
     labels = materialise(components(materialise(candidates(nodes, texts_of))))
@@ -362,9 +361,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of ``docs`` for each class, that of the class id. Rows whose class is but themselves stay where they are;
     the others are reduced to one a text before they are shuffled."""
     found = materialise(classes(docs, id_col, text_col).filter("copies > 1 or links > 0").select("v", "class_v"))
-    several = sieve(found, "v")
+    several = Sieve(found.select(F.xxhash64("v").alias("key")), "key")
     rows = docs.select(F.struct("*").alias("row"), identity(F.col(text_col).cast("string")).alias("v"), F.col(id_col).cast("long").alias("own"))
-    rows = rows.withColumn("several", several(F.col("v")))
+    rows = rows.withColumn("several", several.passes(F.xxhash64("v")))
     first = rows.filter("several").groupBy("v").agg(F.min_by("row", F.struct(F.col("own").isNull(), "own")).alias("row"))
     gone = found.filter("v != class_v").select("v")
     return rows.filter("not several").select("row.*").unionByName(first.join(gone, "v", "left_anti").select("row.*"))
