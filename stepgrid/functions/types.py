@@ -105,7 +105,7 @@ def literal(text: str, t: ValueType) -> Column:
     if t.kind in ("int", "uint"):
         digits = text[:1] if text[:1] in "+-" else ""
         for c in text[len(digits) :]:
-            if not c.isdigit():
+            if c not in "0123456789":
                 break
             digits += c
         if not digits.strip("+-"):

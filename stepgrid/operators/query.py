@@ -6,15 +6,16 @@ one filter on one scan; elsewhere only hits meet, in a semi-join (AND) or a dist
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.types import InvalidQuery, literal, operator_of, test
-from ..sources.dataset import Grid, Variable
+from ..sources.dataset import Grid, Variable, zone_aggregates
 from .reading import choose, position, size_of
-from .selection import Block, Box, Selection, SubBlock, Whole
+from .selection import Block, Box, Points, Selection, SubBlock, Whole
 
 
 class Query:
@@ -146,15 +147,14 @@ def _keeps(leaf: Leaf) -> Column:
 
 
 def zone_map(grid: Grid, variables: list[Variable]) -> DataFrame:
-    """The layout of a grid with each variable's smallest and largest value and number of NaNs in every block."""
-    aggs = []
-    for name, v in {v.column: v for v in variables}.items():
-        c = F.col(name)
-        if v.type.kind not in ("int", "uint", "real"):
-            raise InvalidQuery(f"{v.type.name} variables have no smallest value")
-        nan = F.isnan(c) if v.type.kind == "real" else F.lit(False)
-        aggs += [F.min(F.when(~nan, c)).alias(f"_min_{name}"), F.max(F.when(~nan, c)).alias(f"_max_{name}"), F.count_if(nan).alias(f"_nan_{name}")]
-    return grid.layout(*aggs)
+    """The layout of a grid with each variable's smallest and largest value and number of NaNs in every block: from the
+    stored table of blocks, else from the cells."""
+    types = {v.column: v.type for v in variables}
+    for t in types.values():
+        if t.kind not in ("int", "uint", "real"):
+            raise InvalidQuery(f"{t.name} variables have no smallest value")
+    stored = grid.zones(types)
+    return stored.filter("size > 0") if stored is not None else grid.layout(*zone_aggregates(types))
 
 
 def blocks(q: Query, first: int = 0, count: int | None = None) -> DataFrame:
@@ -191,13 +191,59 @@ def numbered(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_at", inside).join(before, groups).withColumn("place", (F.col("_before") + F.col("_at")).cast("long")).drop("_at", "_before")
 
 
+#: Cells along the first coordinates that are numbered together, about, where hits have no block.
+STRIPE = 65_536
+
+
+def _numbered_hits(q: Query, first: int, count: int) -> DataFrame:
+    """Hits with their ``place``: by step, block and place in the block on one grid and selection, else by step and
+    coordinates."""
+    if source := _one_source(q):
+        grid, selection = source
+        cells = choose(grid, grid.cells.filter(F.col("step").between(first, first + count - 1)), selection)
+        return numbered(cells.filter(_condition(q)).select("step", "block", "off", *grid.names), ["step", "block"], ["off"])
+    hits = evaluate(q, None, first, count)
+    names = [c for c in hits.columns if c != "step"]
+    selection, grid = q.leaves()[0].selection, q.leaves()[0].variable.grid
+    shape = selection.count if isinstance(selection, Box) else grid.dims if isinstance(selection, Whole) else (1,)
+    rows = max(1, STRIPE // max(1, math.prod(shape[1:])))
+    striped = hits.withColumn("_stripe", F.floor(F.col(names[0]) / rows))
+    return numbered(striped, ["step", "_stripe"], names).drop("_stripe")
+
+
+def _piece(rows: DataFrame, size: int, number: int) -> DataFrame:
+    return rows.filter(F.col("place").between(size * number, size * (number + 1) - 1))
+
+
 def batch(q: Query, size: int, number: int, first: int = 0, count: int = 1) -> DataFrame:
-    """The ``number``-th batch (from 0) of ``size`` hits of a query on one grid and selection, in order of step, block and
-    place."""
+    """The ``number``-th batch (from 0) of ``size`` hits of any query, each with its ``place``."""
+    return _piece(_numbered_hits(q, first, count), size, number)
+
+
+def block_batch(q: Query, size: int, number: int, first: int = 0, count: int | None = None) -> DataFrame:
+    """The ``number``-th batch of ``size`` candidate blocks, in order of step and block."""
+    return _piece(numbered(blocks(q, first, count), ["step"], ["block"]), size, number)
+
+
+def status(rows: DataFrame, size: int, number: int) -> DataFrame:
+    """One row: how many results there are, how many of them batch ``number`` holds, how many follow, and whether it is the
+    last. ``rows`` are hits or candidate blocks."""
+    done = size * number
+    total = F.count(F.lit(1))
+    held = F.greatest(F.least(total - done, F.lit(size)), F.lit(0))
+    left = F.greatest(total - done - size, F.lit(0))
+    return rows.agg(total.alias("results"), held.cast("long").alias("held"), left.cast("long").alias("follow"), (left == 0).alias("last"))
+
+
+def matching(q: Query, cells: DataFrame) -> DataFrame:
+    """Of ``cells`` of the query's grid, from anywhere (a stream too), those that satisfy a query on one selection."""
     source = _one_source(q)
-    if not source:
-        raise InvalidQuery("batches need one grid and selection")
-    grid, selection = source
-    cells = choose(grid, grid.cells.filter(F.col("step").between(first, first + count - 1)), selection)
-    hits = cells.filter(_condition(q)).select("step", "block", "off", *grid.names)
-    return numbered(hits, ["step", "block"], ["off"]).filter(F.col("place").between(size * number, size * (number + 1) - 1))
+    if not source or isinstance(source[1], Points):
+        raise InvalidQuery("cells by themselves are tested against one grid and one box, block or whole")
+    return choose(source[0], cells, source[1]).filter(_condition(q))
+
+
+def cells_of_blocks(found: DataFrame, v: Variable, box: Box | None = None) -> DataFrame:
+    """The cells of candidate blocks (step, block), all or those in a box."""
+    cells = v.cells if box is None else v.cells.filter(box.predicate(v.grid.ndim))
+    return cells.join(found.select("step", "block"), ["step", "block"], "left_semi")

@@ -98,9 +98,10 @@ class SubBlock:
     index: int
     start: int
     count: int
+    absolute: bool = False
 
     def predicate(self, ndim: int) -> Column:
-        return (F.col("block") == self.index) & (F.col("off") >= self.start) & (F.col("off") < self.start + self.count)
+        return (F.col("abs_block" if self.absolute else "block") == self.index) & (F.col("off") >= self.start) & (F.col("off") < self.start + self.count)
 
 
 @dataclass(frozen=True)
@@ -169,7 +170,8 @@ def intersect_segments(a: int, n: int, b: int, m: int) -> tuple[int, int] | None
 
 
 def intersect(a: Selection, b: Selection) -> Selection | None:
-    """What two selections share; None if nothing. Boxes and points meet in either order; blocks meet blocks."""
+    """What two selections share; None if nothing. Boxes and points meet in either order; blocks meet blocks of the same
+    numbering (``reading.shared`` also reconciles a number in the step with one over all steps)."""
     if isinstance(a, Whole):
         return b
     if isinstance(b, Whole):
@@ -190,10 +192,12 @@ def intersect(a: Selection, b: Selection) -> Selection | None:
         both = tuple(p for p in a.points for _ in range(number.get(p, 0)))
         return Points(a.ndim, both) if both else None
     if isinstance(a, (Block, SubBlock)) and isinstance(b, (Block, SubBlock)):
-        if a.index != b.index or getattr(a, "absolute", False) != getattr(b, "absolute", False):
+        if a.absolute != b.absolute:
+            raise InvalidQuery("a block's number in its step and one over all steps need the table of blocks")
+        if a.index != b.index:
             return None
         if isinstance(a, SubBlock) and isinstance(b, SubBlock):
             part = intersect_segments(a.start, a.count, b.start, b.count)
-            return SubBlock(a.index, *part) if part else None
+            return SubBlock(a.index, *part, a.absolute) if part else None
         return a if isinstance(a, SubBlock) else b
     raise InvalidQuery("a box or points and a block have no common coordinates")

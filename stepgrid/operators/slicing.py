@@ -6,10 +6,11 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .selection import Box
+from .reading import read
+from .selection import Box, coordinates
 
 
 @dataclass(frozen=True)
@@ -69,14 +70,16 @@ def axes(key, dims: Sequence[int]) -> list[Axis]:
     return out
 
 
-def select(cells: DataFrame, key, dims: Sequence[int]) -> DataFrame:
+def select(cells: DataFrame, key, dims: Sequence[int], nsteps: int = 1) -> DataFrame:
     """Cells of a subscript with their place in the result (o0.. over the axes that stay): strides are honoured, lists
-    keep order and duplicates."""
-    found = axes(key, dims)
-    box = Box([a.start for a in found], [max(0, a.stop - a.start) for a in found])
-    out, kept = cells.filter(box.predicate(len(dims))), 0
-    for k, a in enumerate(found):
-        c = F.col(f"c{k}")
+    keep order and duplicates. Of a variable of several steps, steps are the first axis."""
+    names = ["step"] * (nsteps > 1) + coordinates(len(dims))
+    found = axes(key, [nsteps] * (nsteps > 1) + list(dims))
+    out, kept = cells, 0
+    for name, a in zip(names, found):
+        out = out.filter((F.col(name) >= a.start) & (F.col(name) < max(a.start, a.stop)))
+    for name, a in zip(names, found):
+        c = F.col(name)
         if a.picked is not None:
             at = cells.sparkSession.createDataFrame(list(enumerate(a.picked)), "_o long, _c long") if a.picked else cells.sparkSession.createDataFrame([], "_o long, _c long")
             # The list comes from the subscript, so its size is the caller's.
@@ -109,5 +112,9 @@ def listing_box(start: str | Sequence[int], count: str | Sequence[int], dims: Se
     return box
 
 
-def stride(column: Column, start: int, step: int) -> Column:
-    return F.pmod(column - start, F.lit(step)) == 0
+def dump(v, start: str | Sequence[int], count: str | Sequence[int]) -> DataFrame:
+    """The cells of a listing; of a variable of several steps, steps are the first dimension of both texts."""
+    if v.grid.nsteps <= 1:
+        return read(v, listing_box(start, count, v.grid.dims))
+    box = listing_box(start, count, (v.grid.nsteps, *v.grid.dims))
+    return read(v, Box(box.start[1:], box.count[1:]), box.start[0], box.count[0])

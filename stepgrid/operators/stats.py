@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.types import InvalidQuery
 
+#: Names of the sums of a block's finite values, as stored.
+BLOCK_STATS = ("cnt", "vmin", "vmax", "vsum", "vsumsq")
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+
 
 def finite(value: Column) -> Column:
     """Neither null, NaN nor infinite."""
@@ -21,7 +25,10 @@ def finite(value: Column) -> Column:
 
 def block_stats(cells: DataFrame, by: Sequence[str] = ("step", "block"), value: str = "value", full: bool = True) -> DataFrame:
     """cnt, vmin, vmax, vsum, vsumsq and finite of each block. ``full`` leaves out NaN and infinities; else only NaN are
-    left out and there are no sums. Squares are taken as doubles."""
+    left out and there are no sums. Squares are taken as doubles. Values that are no numbers have no statistics."""
+    kind = dict(cells.dtypes)[value]
+    if kind not in NUMERIC and not kind.startswith("decimal"):
+        raise InvalidQuery(f"{kind} values have no statistics")
     c, d = F.col(value), F.col(value).cast("double")
     used = finite(c) if full else c.isNotNull() & ~F.isnan(d)
     kept, real = F.when(used, c), F.when(used, d)
@@ -30,6 +37,15 @@ def block_stats(cells: DataFrame, by: Sequence[str] = ("step", "block"), value:
     return out.withColumn("finite", F.col("cnt") > 0)
 
 
+def stored_stats(v) -> DataFrame:
+    """What ``block_stats`` gives of a variable of a stored dataset, from its table of blocks alone."""
+    zones = v.grid.zones([v.column])
+    if zones is None:
+        raise InvalidQuery(f"no statistics of {v.name} are stored")
+    out = zones.select("step", "block", *(F.col(f"_{n}_{v.column}").alias(n) for n in BLOCK_STATS))
+    return out.withColumns({"cnt": F.coalesce("cnt", F.lit(0).cast("long")), "finite": F.coalesce(F.col("cnt") > 0, F.lit(False))})
+
+
 def fold(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """min, max, avg and (population) std_dev of block rows by step, block or all together. Blocks without finite values
     add nothing; a step or block of only such has avg and std_dev 0, the whole has null; without sums both are null."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.masks import matches
 from ..operators import query as q
 from ..operators import reading, slicing, stats, steps
-from ..operators.selection import Block, Box, Points, SubBlock, Whole, intersect, to_nd
+from ..operators.selection import Auto, Block, Box, Points, SubBlock, Whole, intersect, to_nd
 from ..sources.dataset import Grid, absolute, joined, own_steps
 from . import arrays
 
@@ -463,9 +463,178 @@ def stream_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.fold(stats.block_stats(spark.read.schema(schema).parquet(kept)), ["step"]), "avg", "std_dev")
 
 
+def _stored(spark: SparkSession, ds, name: str):
+    """A variable of a dataset as it comes back from its folder."""
+    from ..sources.dataset import Dataset
+    from .scratch import folder
+
+    ds.save(path := folder(spark))
+    return Dataset.open(spark, path)[name]
+
+
+def minmax_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate blocks from the stored table of blocks; the cells aren't read."""
+    from ..sources.dataset import Dataset
+    from .scratch import folder
+
+    arrays.orders(spark, sf_dir).save(path := folder(spark))
+    back = Dataset.open(spark, path)
+    return q.blocks(q.Leaf(back["price"], "<", "1500") & q.Leaf(back["customer"], "<=", "2"))
+
+
+def stats_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of steps from the stored table of blocks; the cells aren't read."""
+    v = _stored(spark, arrays.events(spark, sf_dir), "value")
+    return rounded(stats.fold(stats.stored_stats(v), ["step"]), "avg", "std_dev")
+
+
+def _gapped(spark: SparkSession, sf_dir: str):
+    """Events in four declared blocks a day, of which every third has no cells, as they come back from a folder."""
+    from ..sources.dataset import Dataset, declare
+
+    ev = EV(spark, sf_dir)
+    blocks = declare(spark, [(s, b, (0,), (0 if (s + b) % 3 == 0 else ev.grid.dims[0],)) for s in range(ev.grid.nsteps) for b in range(4)], 1)
+    ds = Dataset(spark)
+    ds.define("value", None, (), grid=Grid(ev.grid.cells.filter("(step + block) % 3 != 0"), ev.grid.dims, ev.grid.nsteps, True, blocks))
+    return _stored(spark, ds, "value")
+
+
+def empty_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gapped(spark, sf_dir).grid.layout()
+
+
+def absolute_blocks_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.read(_gapped(spark, sf_dir), Block(10, absolute=True))
+
+
+def block_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block by its number over all steps meets part of one by its number in the step."""
+    v = _gapped(spark, sf_dir)
+    assert reading.shared(v.grid, Block(10, absolute=True), Block(3)) is None
+    return reading.read(v, reading.shared(v.grid, Block(10, absolute=True), SubBlock(2, 200, 4000)))
+
+
+def stored_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three days stored, two appended and the last one then written anew: statistics of the steps."""
+    from ..sources.dataset import Dataset
+    from .scratch import folder
+
+    ev, path = EV(spark, sf_dir), folder(spark)
+
+    def days(first: int, count: int, value=F.col("value")) -> Dataset:
+        ds = Dataset(spark)
+        cells = steps.split(ev.cells, first, first + count - 1, ev.grid.nsteps)
+        ds.define("value", cells.withColumn("value", value), ev.grid.dims, nsteps=count)
+        return ds
+
+    days(0, 3).save(path)
+    days(3, 2).save(path, mode="append")
+    days(4, 1, F.col("value") + 1000).save(path, mode="update")
+    return rounded(stats.fold(stats.stored_stats(Dataset.open(spark, path)["value"]), ["step"]), "avg", "std_dev")
+
+
+def batch_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of the hits of a query over two boxes."""
+    e = E(spark, sf_dir)
+    column = lambda k: Box((0, k), (e.grid.dims[0], 1))
+    return q.batch(q.Leaf(e, ">", "0", column(1)) & q.Leaf(e, "<=", "0", column(2)), 25, 2)
+
+
+def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = _orders(spark, sf_dir)
+    return q.status(q.evaluate(q.Leaf(p, ">", "250000")), 100, 1)
+
+
+def minmax_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, _ = _orders(spark, sf_dir)
+    return q.block_batch(q.Leaf(p, "<", "1500"), 3, 1)
+
+
+def minmax_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of candidate blocks inside a box."""
+    p, c = _orders(spark, sf_dir)
+    box = Box((1500,), (4000,))
+    return q.cells_of_blocks(q.blocks(q.Leaf(p, "<", "1200", box) | q.Leaf(c, "<=", "0", box)), p, box)
+
+
+def read_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.chunk(EV(spark, sf_dir), Box((1000,), (1500,)), 40, 2, 3, 5)
+
+
+def points_meet_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = E(spark, sf_dir)
+    return reading.read(e, intersect(Points(2, POINTS), Points(2, ((7, 0), (3, 5), (8, 8))))).select("pid", "c0", "c1", "value")
+
+
+def points_in_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points relative to the start of a block."""
+    return reading.read(E(spark, sf_dir), Points(2, ((0, 0), (3, 7), (49, 63), (3, 7)), Block(2))).select("pid", "c0", "c1", "value")
+
+
+def auto_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.read(EV(spark, sf_dir), Auto(), 2, 1)
+
+
+def slice_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps are the first axis of a subscript."""
+    ev = EV(spark, sf_dir)
+    return slicing.select(ev.cells, (slice(2, 20, 5), slice(100, 2000, 3)), ev.grid.dims, ev.grid.nsteps).drop("off", "block")
+
+
+def dump_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slicing.dump(EV(spark, sf_dir), "-3 500", "2,1000").select("step", "c0", "value")
+
+
+def bytes_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations as 8-bit arrays that end with a zero, and as text again."""
+    rows = arrays.table(spark, sf_dir, "nation")
+    codes = F.transform(F.split("n_name", ""), F.ascii)
+    long = rows.select(F.col("n_nationkey").cast("long").alias("c0"), F.posexplode(F.concat(codes, F.array(F.lit(0), F.lit(65)))).alias("c1", "value"))
+    cells = long.select(F.lit(0).alias("step"), "c0", F.col("c1").cast("long").alias("c1"), F.col("value").cast("tinyint").alias("value"))
+    return reading.as_text(cells, 2)
+
+
+def catalog_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.compare_catalogs(arrays.orders(spark, sf_dir).catalog(), arrays.parts(spark, sf_dir).catalog())
+
+
+def stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query tree on the steps that a stream delivers: its hits, stored step by step."""
+    from ..streaming import steps as streaming
+    from .scratch import folder
+
+    ev, source, kept, log = EV(spark, sf_dir), folder(spark), folder(spark), folder(spark)
+    ev.cells.repartition(4, "step").write.parquet(source)
+    schema, box = "step int, block int, off long, c0 long, value double", Box((200,), (3000,))
+    tree = (q.Leaf(ev, ">", "150", box) & q.Leaf(ev, "<=", "170", box)) | q.Leaf(ev, "<", "1", box)
+    streaming.store(q.matching(tree, streaming.source(spark, source, schema, files=1)), kept, log)
+    return spark.read.schema(schema).parquet(kept)
+
+
+_ZONES = ZONES.split("SELECT step, block, abs_block")[0]
+_DECLARED = ", s AS (SELECT CAST(unnest(range(0, (SELECT max(step) + 1 FROM events_cells))) AS INTEGER) AS step), d AS (SELECT step, CAST(b AS INTEGER) AS block FROM s, (VALUES (0), (1), (2), (3)) t(b)) "
 _REGISTERED |= {
     stored_round_trip: "SELECT * FROM events_cells WHERE step BETWEEN 4 AND 5",
     stream_steps: f"SELECT step, {STAT} FROM events_cells GROUP BY step",
+    minmax_stored: ZONES + "lo < 1500 AND clo <= 2",
+    stats_stored: f"SELECT step, {STAT} FROM events_cells GROUP BY step",
+    empty_blocks: _DECLARED + "SELECT d.step, d.block, CAST(4 * d.step + d.block AS INTEGER) AS abs_block, 0 AS s0, CASE WHEN (d.step + d.block) % 3 = 0 THEN 0 ELSE (SELECT max(c0) + 1 FROM events_cells) END AS n0, count(e.c0) AS size FROM d LEFT JOIN events_cells e ON e.step = d.step AND e.block = d.block AND (d.step + d.block) % 3 != 0 GROUP BY d.step, d.block",
+    absolute_blocks_gap: "SELECT * FROM events_cells WHERE step = 2 AND block = 2",
+    block_intersect: "SELECT * FROM events_cells WHERE step = 2 AND block = 2 AND off BETWEEN 200 AND 4199",
+    stored_append: f", b AS (SELECT step, value + CASE WHEN step = 4 THEN 1000 ELSE 0 END AS value FROM events_cells WHERE step < 5) SELECT step, {STAT} FROM b GROUP BY step",
+    batch_joined: "SELECT * FROM (SELECT a.step, a.c0, CAST(1 AS BIGINT) AS c1, row_number() OVER (ORDER BY a.c0) - 1 AS place FROM vectors_cells a JOIN vectors_cells b USING (c0) WHERE a.c1 = 1 AND b.c1 = 2 AND a.embedding > 0 AND b.embedding <= 0) WHERE place BETWEEN 50 AND 74",
+    batch_status: "SELECT count(*) AS results, greatest(least(count(*) - 100, 100), 0) AS held, greatest(count(*) - 200, 0) AS follow, count(*) <= 200 AS last FROM orders_cells WHERE price > 250000",
+    minmax_batch: _ZONES + "SELECT * FROM (SELECT step, block, abs_block, size, row_number() OVER (ORDER BY step, block) - 1 AS place FROM z WHERE lo < 1500) WHERE place BETWEEN 3 AND 5",
+    minmax_cells: _ZONES + "SELECT o.step, o.block, o.off, o.c0, o.price AS value FROM orders_cells o JOIN z USING (step, block) WHERE (lo < 1200 OR clo <= 0) AND s < 5500 AND e >= 1500 AND c0 BETWEEN 1500 AND 5499",
+    read_batches: "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY step, block, off) - 1 AS place FROM events_cells WHERE step BETWEEN 3 AND 7 AND c0 BETWEEN 1000 AND 2499) WHERE place BETWEEN 80 AND 119",
+    points_meet_points: "SELECT CAST(pid AS BIGINT) AS pid, c0, c1, embedding AS value FROM (VALUES (0, 3, 5), (1, 7, 0), (2, 3, 5)) p(pid, i, j) JOIN vectors_cells ON c0 = i AND c1 = j",
+    points_in_block: "SELECT CAST(pid AS BIGINT) AS pid, c0, c1, embedding AS value FROM (VALUES (0, 100, 0), (1, 103, 7), (2, 149, 63), (3, 103, 7)) p(pid, i, j) JOIN vectors_cells ON c0 = i AND c1 = j",
+    auto_read: "SELECT * FROM events_cells WHERE step = 2",
+    slice_steps: "SELECT step, c0, value, CAST((step - 2) // 5 AS BIGINT) AS o0, (c0 - 100) // 3 AS o1 FROM events_cells WHERE step BETWEEN 2 AND 19 AND (step - 2) % 5 = 0 AND c0 BETWEEN 100 AND 1999 AND (c0 - 100) % 3 = 0",
+    dump_steps: ", n AS (SELECT max(step) AS n FROM events_cells) SELECT step, c0, value FROM events_cells, n WHERE step BETWEEN n - 2 AND n - 1 AND c0 BETWEEN 500 AND 1499",
+    bytes_text: "SELECT 0 AS step, CAST(n_nationkey AS BIGINT) AS c0, n_name AS text FROM nation",
+    catalog_differences: "SELECT * FROM (VALUES ('customer', 'missing right'), ('size', 'missing left')) t(name, kind)",
+    stream_query: "SELECT * FROM events_cells WHERE c0 BETWEEN 200 AND 3199 AND ((value > 150 AND value <= 170) OR value < 1)",
 }
 for _f, _sql in _REGISTERED.items():
     register(_f.__name__, _sql, _f)

@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new name in spark.checkpoint.dir; a local folder only where that is unset (tests)."""
+    """A new name in spark.checkpoint.dir. Where that is unset, a local folder, and only if all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/') if base else os.path.join(tempfile.gettempdir(), 'scratch')}/{uuid.uuid4().hex}"

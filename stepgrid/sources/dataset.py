@@ -2,7 +2,9 @@
 
 A grid is one DataFrame of cells: ``step``, ``block`` (number in the step), ``off`` (row-major place in the block), the
 coordinates ``c0..`` and one column for each variable on it. Variables on one grid share a scan. On disk a dataset is a
-folder of Parquet tables partitioned by step; footers and sorting give what zone maps give.
+folder of Parquet tables partitioned by step, and beside each grid a table of its blocks: start, count and statistics of
+every block that was declared or has cells. Layouts, absolute block numbers, candidate blocks and statistics of a stored
+dataset come from that table; the cells are not read for them.
 """
 
 from __future__ import annotations
@@ -14,18 +16,22 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import InvalidName, InvalidStep, ValueType, of_spark, value_type
+from ..functions.types import InvalidName, InvalidQuery, InvalidStep, ValueType, of_spark, value_type
 from ..operators.selection import coordinates
+from ..operators.stats import BLOCK_STATS, finite
 
 
 @dataclass(frozen=True)
 class Grid:
-    """``dims`` of the shared index space; ``nsteps`` steps; local grids have coordinates of their block only."""
+    """``dims`` of the shared index space; ``nsteps`` steps; local grids have coordinates of their block only.
+    ``declared`` has a row for each block, with and without cells: step, block, s0.., n0.., size, and statistics of
+    variables if it was stored."""
 
     cells: DataFrame
     dims: tuple[int, ...]
     nsteps: int = 1
     is_global: bool = True
+    declared: DataFrame | None = None
 
     @property
     def ndim(self) -> int:
@@ -37,15 +43,53 @@ class Grid:
 
     def layout(self, *more: Column) -> DataFrame:
         """Start and count of every block: step, block, abs_block, s0.., n0.., size, and ``more`` aggregates of its
-        cells. The absolute number counts the blocks of earlier steps."""
+        cells. The absolute number counts the blocks of earlier steps. Without ``more``, declared blocks are not looked
+        up in the cells."""
+        if self.declared is not None and not more:
+            return absolute(self.declared.select("step", "block", *(f"{x}{k}" for k in range(self.ndim) for x in "sn"), "size"))
         aggs = [x for k, c in enumerate(self.names) for x in (F.min(c).alias(f"s{k}"), (F.max(c) - F.min(c) + 1).alias(f"n{k}"))]
         blocks = self.cells.groupBy("step", "block").agg(*aggs, F.count(F.lit(1)).alias("size"), *more)
         return absolute(blocks)
 
+    def numbers(self) -> DataFrame:
+        """step, block and abs_block of every block."""
+        return absolute((self.cells if self.declared is None else self.declared).select("step", "block").distinct())
+
+    def zones(self, columns: Iterable[str]) -> DataFrame | None:
+        """The declared blocks with their stored statistics of these columns; None where there are none."""
+        if self.declared is None or any(f"_min_{c}" not in self.declared.columns for c in columns):
+            return None
+        return absolute(self.declared)
+
+
+def declare(spark: SparkSession, blocks: Iterable[tuple[int, int, Sequence[int], Sequence[int]]], ndim: int) -> DataFrame:
+    """A table of blocks from (step, block, start, count); a count of 0 in any dimension is a block without cells."""
+    rows = []
+    for step, block, start, count in blocks:
+        size = 1
+        for n in count:
+            size *= n
+        rows.append((step, block, *(x for p in zip(start, count) for x in p), size))
+    return spark.createDataFrame(rows, "step int, block int, " + "".join(f"s{k} long, n{k} long, " for k in range(ndim)) + "size long")
+
+
+def zone_aggregates(columns: Mapping[str, ValueType]) -> list[Column]:
+    """Smallest and largest value (NaN left out) and number of NaNs of each column, and count, extremes and sums of its
+    finite values."""
+    out = []
+    for name, t in columns.items():
+        c = F.col(name)
+        nan = F.isnan(c) if t.kind == "real" else F.lit(False)
+        kept, real = F.when(finite(c), c), F.when(finite(c), c.cast("double"))
+        out += [F.min(F.when(~nan, c)).alias(f"_min_{name}"), F.max(F.when(~nan, c)).alias(f"_max_{name}"), F.count_if(nan).alias(f"_nan_{name}")]
+        out += [f(x).alias(f"_{n}_{name}") for n, f, x in zip(BLOCK_STATS, (F.count, F.min, F.max, F.sum, F.sum), (kept, kept, kept, real, real * real))]
+    return out
+
 
 def absolute(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``abs_block``: the number of blocks of earlier steps plus the number in the step."""
-    per = blocks.groupBy("step").agg(F.count(F.lit(1)).alias("_n"))
+    """Blocks with ``abs_block``: the number of blocks of earlier steps plus the number in the step. A step has one more
+    block than its largest number says, so blocks without a row in between are counted."""
+    per = blocks.groupBy("step").agg((F.max("block") + 1).alias("_n"))
     before = per.select("step", (F.sum("_n").over(Window.orderBy("step")) - F.col("_n")).alias("_before"))
     return blocks.join(before, "step").withColumn("abs_block", (F.col("_before") + F.col("block")).cast("int")).drop("_before")
 
@@ -164,7 +208,15 @@ class Dataset:
 
     # ---- storage
     def save(self, path: str, mode: str = "overwrite", step_offset: int = 0) -> None:
-        """Write every grid (cells by step, sorted by block and place) and the metadata. ``append`` adds new steps."""
+        """Write every grid (cells by step, sorted by block and place), its table of blocks, and the metadata.
+
+        ``append`` adds this dataset's steps behind those that are stored (or at ``step_offset``, which may not be
+        before them); ``update`` writes the last stored step anew, from a dataset of one step. Both need variables of the
+        stored names, types and dimensions, and leave the stored steps before as they are."""
+        if mode in ("append", "update"):
+            stored = Dataset.open(self.spark, path)
+            first = self._continues(stored, mode, step_offset)
+            step_offset, mode = first, "append" if mode == "append" else "update"
         grids: dict[int, list[Variable]] = {}
         for v in self.variables.values():
             grids.setdefault(id(v.grid), []).append(v)
@@ -172,11 +224,30 @@ class Dataset:
         for k, vs in enumerate(grids.values()):
             g = vs[0].grid
             cells = g.cells.select((F.col("step") + step_offset).cast("int").alias("step"), "block", "off", *g.names, *dict.fromkeys(v.column for v in vs))
-            cells.repartition("step", "block").sortWithinPartitions("step", "block", "off").write.mode(mode).partitionBy("step").parquet(f"{path}/grid={k}")
+            writer = lambda df: (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if mode == "update" else df.write.mode(mode)).partitionBy("step")
+            writer(cells.repartition("step", "block").sortWithinPartitions("step", "block", "off")).parquet(f"{path}/grid={k}")
+            writer(_block_table(g, vs).withColumn("step", (F.col("step") + step_offset).cast("int")).coalesce(8)).parquet(f"{path}/blocks={k}")
             known += [v.describe() | {"grid": k, "column": v.column, "nsteps": g.nsteps + step_offset} for v in vs]
         meta = [json.dumps({"variables": known, "attributes": [(a.name, a.type, list(a.values)) for a in self.attributes.values()]})]
         self.spark.createDataFrame([(m,) for m in meta], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
+    def _continues(self, stored: Dataset, mode: str, step_offset: int) -> int:
+        """The first step to write, if this dataset may follow the stored one."""
+        if set(self.variables) != set(stored.variables):
+            raise InvalidName(f"stored are {sorted(stored.variables)}, given are {sorted(self.variables)}")
+        for n, v in self.variables.items():
+            old = stored.variables[n]
+            if v.type.name != old.type.name or v.grid.dims != old.grid.dims or v.grid.is_global != old.grid.is_global:
+                raise InvalidQuery(f"{n} is stored as {old.type.name} {old.grid.dims}, not {v.type.name} {v.grid.dims}")
+        last = max((v.grid.nsteps for v in stored.variables.values()), default=0)
+        if mode == "update":
+            if any(v.grid.nsteps != 1 for v in self.variables.values()):
+                raise InvalidStep("an update is one step")
+            return last - 1
+        if step_offset and step_offset < last:
+            raise InvalidStep(f"{last} steps are stored, so a new one can't be step {step_offset}")
+        return step_offset or last
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Dataset:
         """A stored dataset, all steps visible. Metadata is one small file."""
@@ -185,13 +256,24 @@ class Dataset:
         for v in meta["variables"]:
             k = v["grid"]
             if k not in grids:
-                grids[k] = Grid(spark.read.parquet(f"{path}/grid={k}"), tuple(v["dims"]), v["nsteps"], v["global"])
+                grids[k] = Grid(spark.read.parquet(f"{path}/grid={k}"), tuple(v["dims"]), v["nsteps"], v["global"], spark.read.parquet(f"{path}/blocks={k}"))
             out.variables[v["name"]] = Variable(v["name"], grids[k], v["column"], value_type(v["type"]), v["group"], v["transform"])
         for name, kind, values in meta["attributes"]:
             out.attributes[name] = Attribute(name, kind, tuple(values))
         return out
 
 
+def _block_table(grid: Grid, variables: Sequence[Variable]) -> DataFrame:
+    """What ``save`` stores of each block: one row, with statistics of the numeric columns."""
+    numeric = {v.column: v.type for v in variables if v.type.kind in ("int", "uint", "real")}
+    found = grid.layout(*zone_aggregates(numeric)).drop("abs_block")
+    if grid.declared is None:
+        return found
+    place = ["step", "block", *(f"{x}{k}" for k in range(grid.ndim) for x in "sn")]
+    counted = found.drop(*place[2:])
+    return grid.declared.select(place).join(counted, ["step", "block"], "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+
+
 def from_rows(rows: DataFrame, coords: Sequence[Column], dims: Sequence[int], values: Mapping[str, Column], step: Column | None = None, block: Column | None = None, off: Column | None = None, nsteps: int = 1, is_global: bool = True) -> Grid:
     """A grid over the rows of a table: expressions for coordinates, values, step and block."""
     lit = F.lit(0)

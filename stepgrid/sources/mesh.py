@@ -10,6 +10,7 @@ from .dataset import Attribute, Dataset
 # Where meshes and links are described, and the kinds of meshes.
 SCHEMA, LINK = "/mesh_schema", "/link_schema"
 KINDS = ("uniform", "structured", "rectilinear", "unstructured")
+NEEDS = {"uniform": ["dimensions"], "structured": ["dimensions", "points"], "rectilinear": ["dimensions", "coordinates"], "unstructured": ["points", "cells"]}
 
 
 @dataclass(frozen=True)
@@ -21,8 +22,23 @@ class Mesh:
     def __post_init__(self):
         if self.kind not in KINDS:
             raise InvalidName(f"unknown kind of mesh {self.kind!r}")
-        if self.kind == "uniform" and not self.properties.get("dimensions"):
-            raise InvalidName("a uniform mesh needs dimensions")
+        if missing := [k for k in NEEDS[self.kind] if not self.properties.get(k)]:
+            raise InvalidName(f"a {self.kind} mesh needs {' and '.join(missing)}")
+        dims = self.properties.get("dimensions", [])
+        if len(dims) >= 10:
+            raise InvalidName("a mesh has fewer than 10 dimensions")
+        if self.kind == "rectilinear" and len(self.properties["coordinates"]) not in (1, len(dims)):
+            raise InvalidName("a rectilinear mesh has one variable of coordinates for each dimension, or one for all")
+        if self.kind == "uniform":
+            self._spacings(dims)
+
+    def _spacings(self, dims: list) -> None:
+        """Spacing and maximum, where both are given, have to agree."""
+        spacing, most = self.properties.get("spacings", []), self.properties.get("maximums", [])
+        origin = self.properties.get("origins", []) or [0] * len(dims)
+        for n, o, s, m in zip(dims, origin, spacing, most):
+            if all(isinstance(x, (int, float)) for x in (n, o, s, m)) and n > 1 and s != (m - o) / (n - 1):
+                raise InvalidName(f"spacing {s} doesn't lead from {o} to {m} in {n} points")
 
 
 def define(ds: Dataset, mesh: Mesh) -> None:
@@ -48,16 +64,20 @@ def _value(ds: Dataset, a: Attribute):
     return v
 
 
-def read(ds: Dataset, name: str) -> Mesh:
+def read(ds: Dataset, name: str, other: Dataset | None = None) -> Mesh:
+    """A mesh; what ``ds`` doesn't say of it is taken from ``other``, where there is one."""
     lead = f"{SCHEMA}/{name}/"
-    if f"{lead}type" not in ds.attributes:
+    sources = [d for d in (ds, other) if d is not None]
+    kind = next((d.attributes[f"{lead}type"].values[0] for d in sources if f"{lead}type" in d.attributes), None)
+    if kind is None:
         raise InvalidName(f"no mesh {name!r}")
-    properties = {}
-    for n, a in ds.attributes.items():
-        if n.startswith(lead) and n.endswith("-num"):
+    properties: dict = {}
+    for d in sources:
+        for n, a in d.attributes.items():
             key = n[len(lead) : -len("-num")]
-            properties[key] = [_value(ds, ds.attributes[f"{lead}{key}{i}"]) for i in range(int(a.values[0]))]
-    return Mesh(name, ds.attributes[f"{lead}type"].values[0], properties)
+            if n.startswith(lead) and n.endswith("-num") and key not in properties:
+                properties[key] = [_value(d, d.attributes[f"{lead}{key}{i}"]) for i in range(int(a.values[0]))]
+    return Mesh(name, kind, properties)
 
 
 def put_on(ds: Dataset, variable: str, mesh: str, centering: str = "point") -> None:

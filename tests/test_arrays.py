@@ -224,3 +224,71 @@ def test_meshes(spark):
     assert mesh.names(ds) == ["m"] and mesh.read(ds, "m").properties == {"dimensions": [10, 20]} and mesh.mesh_of(ds, "T") == ("m", "point")
     with pytest.raises(InvalidName):
         mesh.Mesh("bad", "uniform")
+    ds.attribute("/mesh_schema/part/type", "rectilinear")
+    other = Dataset(spark)
+    mesh.define(other, mesh.Mesh("part", "rectilinear", {"dimensions": [3, 4], "coordinates": ["x", "y"]}))
+    assert mesh.read(ds, "part", other) == mesh.read(other, "part")
+    bad = (("structured", {"dimensions": [2]}), ("rectilinear", {"dimensions": [2, 3, 4], "coordinates": ["x", "y"]}), ("unstructured", {"points": ["p"]}), ("uniform", {"dimensions": [1] * 10}))
+    for kind, properties in (*bad, ("uniform", {"dimensions": [11], "origins": [0.0], "spacings": [0.3], "maximums": [1.0]})):
+        with pytest.raises(InvalidName):
+            mesh.Mesh("bad", kind, properties)
+    assert mesh.Mesh("good", "uniform", {"dimensions": [11], "spacings": [0.5], "maximums": [5.0]}).kind == "uniform"
+
+
+def test_stored_blocks(spark, blocks, tmp_path):
+    """Blocks and their statistics come from the stored table, in which updates and appended steps take part."""
+    path = str(tmp_path / "ds")
+    ds = Dataset(spark)
+    ds.define("data", blocks.cells, (10, 10), nsteps=2)
+    ds.save(path)
+    one = Dataset(spark)
+    one.define("data", blocks.cells.filter("step = 1").withColumns({"step": F.lit(0), "value": F.col("value") * 10}), (10, 10))
+    one.save(path, mode="update")
+    one.save(path, mode="append")
+    back = Dataset.open(spark, path)["data"]
+    assert back.grid.nsteps == 3
+    found = q.blocks(q.Leaf(back, ">", "150"))
+    assert rows(found, "step", "block", "abs_block") == [(1, 3, 7), (2, 3, 11)] and "grid=" not in found._jdf.queryExecution().executedPlan().toString()
+    want = stats.fold(stats.block_stats(back.cells), ["step"])
+    assert rows(stats.fold(stats.stored_stats(back), ["step"]), *want.columns) == rows(want, *want.columns)
+    with pytest.raises(InvalidQuery):
+        stats.stored_stats(blocks)
+    with pytest.raises(InvalidStep):
+        ds.save(path, mode="append", step_offset=1)
+    with pytest.raises(InvalidStep):
+        ds.save(path, mode="update")
+    wrong = Dataset(spark)
+    wrong.define("data", blocks.cells, (10, 11), nsteps=2)
+    with pytest.raises(InvalidQuery):
+        wrong.save(path, mode="append")
+    wrong.define("more", blocks.cells, (10, 10), nsteps=2)
+    with pytest.raises(InvalidName):
+        wrong.save(path, mode="append")
+
+
+def test_blocks_meet_blocks(blocks):
+    assert reading.shared(blocks.grid, Block(2), Block(6, absolute=True)) == Block(6, absolute=True)
+    assert reading.shared(blocks.grid, SubBlock(6, 3, 9, True), SubBlock(2, 5, 20)) == SubBlock(6, 5, 7, True)
+    assert reading.shared(blocks.grid, Block(1), Block(6, absolute=True)) is None and reading.shared(blocks.grid, Block(1), Block(9, absolute=True)) is None
+    assert reading.shared(blocks.grid, Block(1), SubBlock(1, 0, 2)) == SubBlock(1, 0, 2)
+    assert rows(reading.read(blocks, SubBlock(6, 3, 2, True)), "step", "block", "off") == [(1, 2, 3), (1, 2, 4)]
+    with pytest.raises(InvalidQuery):
+        intersect(Block(1), Block(1, absolute=True))
+
+
+def test_batches_cover_all_results(blocks):
+    tree = q.Leaf(blocks, ">=", "11.0", Box((0, 0), (5, 10))) & q.Leaf(blocks, "<=", "30.0", Box((5, 0), (5, 10)))
+    whole = rows(q.evaluate(tree, first=0, count=2), "step", "c0", "c1")
+    got = [r for k in range(len(whole) // 4 + 1) for r in rows(q.batch(tree, 4, k, 0, 2), "step", "c0", "c1")]
+    assert sorted(got) == whole and len(whole) > 8
+    row = q.status(q.evaluate(tree, first=0, count=2), 4, len(whole) // 4).first()
+    assert (row.results, row.follow, row.last) == (len(whole), 0, True)
+    assert rows(q.block_batch(q.Leaf(blocks, ">", "0"), 3, 2), "step", "block", "place") == [(1, 2, 6), (1, 3, 7)]
+    with pytest.raises(InvalidQuery):
+        q.matching(tree, blocks.cells)
+
+
+def test_texts_have_no_statistics(spark):
+    df = spark.createDataFrame([(0, 0, 0, 0, "7")], "step int, block int, off long, c0 long, value string")
+    with pytest.raises(InvalidQuery):
+        stats.block_stats(df)
