@@ -39,11 +39,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def attach(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``values``: one row a key, whose ``size`` is the key's rows out of ``total``. Heavy keys, fewer
-    than ``HEAVY``, are joined by broadcast where their rows lie; a shuffle joins the others, none of which fills a task."""
+    """``rows`` joined with ``values``, a materialised table of one row a key, whose ``size`` is the key's rows out of
+    ``total``. Heavy keys, fewer than ``HEAVY``, are joined by broadcast where their rows lie; a shuffle joins the others,
+    none of which fills a task."""
     limit = total // HEAVY
     heavy = values.filter(F.col("size") > limit)
-    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(values.filter(F.col("size") <= limit), key)
+    if heavy.isEmpty():
+        return rows.join(values.hint("merge"), key)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(values.filter(F.col("size") <= limit).hint("merge"), key)
     return light.unionByName(rows.join(F.broadcast(heavy), key))
 
 

@@ -53,8 +53,8 @@ FUNCTIONS, AGREE = 64, 43
 #: Share of a large bucket (of a path longer than one) that resembles its first member before the bucket counts as one
 #: candidate group.
 DENSE = 0.5
-#: Documents of a block of the exact comparison.
-BLOCK = 512
+#: Documents of a block of the exact comparison; shingles hashed at once under their paths (one more set, at most).
+BLOCK, HASHED = 512, 1 << 18
 
 _SPACE = np.ones(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -106,8 +106,9 @@ def extend(sets: np.ndarray, starts: np.ndarray, row: np.ndarray, path: np.ndarr
     """Longer paths of (row, path) nodes: (index of the node, the new path)."""
     size = (starts[1:] - starts[:-1])[row]
     nodes, paths = [], []
-    for a in range(0, len(row), 4096):
-        n = size[a : a + 4096]
+    cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + HASHED, HASHED), "right"))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        n = size[a:b]
         node = np.repeat(np.arange(a, a + len(n)), n)
         at = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n) + starts[row[node]]
         z = mix64(sets[at] * np.uint64(0x9E3779B97F4A7C15) ^ path[node])
@@ -170,16 +171,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, label) of every end of an (a, b) edge: the least end of its connected component, by alternating large-star
     and small-star rounds."""
 
-    def star(by: DataFrame, total: int) -> DataFrame:
-        return attach(by, by.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("size")), "a", total)
+    def star(by: DataFrame) -> DataFrame:
+        return by.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("size"))
 
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both, 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        small = star(large, 2 * seen[0])
+        # A hub's many neighbours are larger than it: this join may be skewed, the next one has few rows a key.
+        large = attach(both, materialise(star(both)), "a", 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        small = large.join(star(large), "a")
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         now = materialise(small)
         if (got := mark(now)) == seen:
@@ -204,13 +206,14 @@ def candidates(nodes: DataFrame, texts_of) -> DataFrame:
         pairs = ahead.select("x", F.explode(F.slice("all", F.col("at") + 2, SMALL)).alias("y"))
         edges.append(pairs.filter(alike("x", "y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
         hot = shared.filter(F.col("size") > SMALL).select("path", "size", F.struct("v", "n", "s1", "s2").alias("x"))
-        pivots = hot.groupBy("path").agg(F.min("x").alias("pivot"), F.first("size").alias("size"))
+        pivots = materialise(hot.groupBy("path").agg(F.min("x").alias("pivot"), F.first("size").alias("size")))
         hot = materialise(attach(hot.drop("size"), pivots, "path", total).withColumn("near", alike("x", "pivot")))
         edges.append(hot.filter("near").select(F.col("x.v").alias("a"), F.col("pivot.v").alias("b")))
         # A bucket without a better split is one candidate group, which the exact comparison takes apart block by block.
         whole = F.lit(True) if level >= DEEPEST else (F.col("like") >= DENSE * F.col("size")) & F.lit(level > 1)
         mixed = hot.groupBy("path").agg(F.count_if("near").alias("like"), F.first("size").alias("size")).filter(F.col("like") < F.col("size"))
-        rest = materialise(attach(hot.select("path", "x.v", F.col("pivot.v").alias("pivot"), "near"), mixed.select("path", "size", whole.alias("whole")), "path", total))
+        mixed = materialise(mixed.select("path", "size", whole.alias("whole")))
+        rest = materialise(attach(hot.select("path", "x.v", F.col("pivot.v").alias("pivot"), "near"), mixed, "path", total))
         edges.append(rest.filter("whole and not near").select(F.col("v").alias("a"), F.col("pivot").alias("b")))
         left = rest.filter("not whole")
         if left.isEmpty():
@@ -291,7 +294,7 @@ def verify(labels: DataFrame, texts: DataFrame) -> DataFrame:
     """(v, links, root) rows: exact links of members of each candidate component, block against block, and where they
     hang together."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = attach(labels, sizes, "label", labels.count()).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).join(texts, "v")
+    placed = attach(labels, materialise(sizes), "label", labels.count()).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).join(texts, "v")
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = paired.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "v", (F.col("block") > F.col("other")).cast("int").alias("side"), "text")
 
@@ -347,12 +350,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ids = named.groupBy("v").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     known = materialise(ids.join(joined, "v", "left").join(number, "v", "left").select("v", "rep", "copies", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
     best = known.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "v")).alias("best"), F.count(F.lit(1)).alias("size"))
-    return attach(known, best, "label", known.count()).select("v", "rep", "copies", F.col("best.v").alias("class_v"), F.col("best.rep").alias("class_id"), "links")
+    return attach(known, materialise(best), "label", known.count()).select("v", "rep", "copies", F.col("best.v").alias("class_v"), F.col("best.rep").alias("class_id"), "links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_links (different texts linked to this one's) and n_copies (rows of this text) of every row."""
-    found = classes(docs, id_col, text_col).withColumn("size", F.col("copies"))
+    found = materialise(classes(docs, id_col, text_col).withColumn("size", F.col("copies")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), identity(F.col(text_col).cast("string")).alias("v"))
     return attach(rows, found, "v", rows.count()).select("doc_id", "class_id", F.col("links").alias("n_links"), F.col("copies").alias("n_copies"))
 
