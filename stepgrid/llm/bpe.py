@@ -21,12 +21,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import STEP_BYTES
+from .common import STEP_BYTES, slices
 
 #: Longest piece, in bytes, that goes to the shared trees.
 SHORT = 32
 #: Pieces remembered in a worker at most; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 NONE = np.int64(1) << np.int64(62)
 
 
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             at = 0
             for texts in _runs(batch.column(1).to_pylist()):
                 ids = e.encode(texts)
@@ -231,7 +231,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path).bytes
-        for batch in batches:
+        for batch in slices(batches):
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 data = [b"".join(map(known.__getitem__, np.frombuffer(i.as_buffer(), "<u4").tolist())) for i in part.column(1)]
@@ -246,7 +246,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             at = 0
             for texts in _runs(batch.column(1).to_pylist()):
                 ids = e.encode(texts)

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most UTF-8 bytes of text that one vectorised step holds at once (a longer single text is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 1024
 #: A key of more than 1 / HEAVY of all rows is heavy; at any size there are fewer than HEAVY of those.
 HEAVY = 10_000
 #: 64-bit words of a sieve at most (32 MiB), and bits that a key gets below that.
@@ -34,10 +36,18 @@ def materialise(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def keyed(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that rows of equal id and text share."""
+    both = [F.col(id_col).cast("string"), F.col(text_col).cast("string")]
+    return [F.xxhash64(*both).alias("key"), F.xxhash64(F.lit(7), *both).alias("key2")]
+
+
 def attach(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with ``values``, a materialised table of one row a key, whose ``size`` is the key's rows out of
     ``total``. Heavy keys, fewer than ``HEAVY``, are joined by broadcast where their rows lie; a shuffle joins the others,
@@ -95,12 +105,20 @@ class Sieve:
         return kept(keys)
 
 
-def steps(texts: list[str | None], limit: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Cut a batch into runs of at most ``limit`` bytes: (index of the first, the texts as UTF-8; null is empty)."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that few rows become Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def steps(texts: list[str | None], limit: int = STEP_BYTES, rows: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
+    """Cut a batch into runs of at most ``limit`` bytes (and ``rows`` texts): (index of the first, the texts as UTF-8;
+    null is empty)."""
     first, run, held = 0, [], 0
     for i, t in enumerate(texts):
         b = t.encode("utf-8", "surrogatepass") if t else b""
-        if run and held + len(b) > limit:
+        if run and (held + len(b) > limit or len(run) == rows):
             yield first, run
             first, run, held = i, [], 0
         run.append(b)

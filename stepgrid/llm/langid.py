@@ -7,7 +7,8 @@ that language is rejected.
 
 Defined results: a null text, or one without a letter, gets ``und``, score 0, and is rejected; ties go to the language
 first by code point; with no training rows every text gets ``und``; a null id counts as the empty text for the fold;
-rows with a null language are not learned from; repeated rows give repeated equal rows.
+rows with a null language are not learned from; repeated rows give repeated equal rows; whole texts are counted, whatever
+their length; an empty table gives no rows. The model grows with the number of languages, which is taken to be small.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mix64, steps, sum_vectors
+from .common import held_out, mix64, slices, steps, sum_vectors
 
 BINS = 4096
+#: Texts whose vectors are held at once.
+ROWS = 512
 #: Centroids of a language, and training rows of a language that k-means starts from (a bound, about).
 CENTROIDS, SAMPLE = 4, 400
 #: Share of a language's training rows that may lie beyond its rejection distance, before REJECT_MARGIN.
@@ -95,10 +98,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, by = np.zeros(BINS), {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang in batch.column(1).to_pylist():
                 by[lang] = by.get(lang, 0) + 1
-            for _, run in steps(_lower(batch.column(0).to_pylist())):
+            for _, run in steps(_lower(batch.column(0).to_pylist()), rows=ROWS):
                 df += (term_counts(run) > 0).sum(0)
         keys = ["", *(f"={k}" for k in by)]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([df.tobytes(), *(np.float64(n).tobytes() for n in by.values())], pa.binary())], names=["key", "vec"])
@@ -117,8 +120,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         import pandas as pd
 
         frame = frame.sort_values(["text"])
-        texts = [t for _, run in steps(_lower(frame["text"].tolist())) for t in run]
-        c = _kmeans(vectors(texts, idf), CENTROIDS)
+        c = _kmeans(np.concatenate([vectors(run, idf) for _, run in steps(_lower(frame["text"].tolist()), rows=ROWS)]), CENTROIDS)
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "k": range(len(c)), "vec": [x.astype(np.float32).tobytes() for x in c]})
 
     first = sorted((r.lang, r.k, r.vec) for r in sample.applyInPandas(centres, "lang string, k int, vec binary").collect())
@@ -126,9 +128,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             own = np.array(batch.column(1).to_pylist(), object)
-            for at, run in steps(_lower(batch.column(0).to_pylist())):
+            for at, run in steps(_lower(batch.column(0).to_pylist()), rows=ROWS):
                 v = vectors(run, idf)
                 for lang in set(own[at : at + len(run)]) & set(start):
                     part = v[own[at : at + len(run)] == lang]
@@ -155,10 +157,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names = ["doc_id", "lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, rejected = [], [], []
             texts = batch.column(1).to_pylist()
-            for at, part in steps(_lower(texts)):
+            for at, part in steps(_lower(texts), rows=ROWS):
                 if model.langs:
                     cosine = vectors(part, model.idf) @ model.centroids.T
                     by = np.stack([cosine[:, model.owner == i].max(1) for i in range(len(model.langs))], 1).astype(np.float64).clip(0, 1)
@@ -181,9 +183,9 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, keep = batch.column(at).to_pylist(), []
-            for first, part in steps(_lower(texts)):
+            for first, part in steps(_lower(texts), rows=ROWS):
                 if not model.langs:
                     keep += [False] * len(part)
                     continue

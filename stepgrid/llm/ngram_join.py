@@ -11,7 +11,7 @@ block, so links and their numbers are exact within what the runs have found.
 Recall: a pair at the threshold shares one extension a level on average at least, so a path of length ``DEEPEST`` with
 probability ``survival()`` a run; there are as many runs as keep the chance of missing it in all of them under ``MISS``.
 
-Shuffles: only paths that occur twice leave their node, and only texts that are compared leave their file (each behind
+Shuffles, and no broadcast of what grows with the input: only paths that occur twice leave their node, and only texts that are compared leave their file (each behind
 a ``Sieve``). Paths, hubs of components and classes that hold many rows are joined by ``attach``, not in one task.
 
 Defined results: words are runs of anything but ASCII white space, as they are; a text of fewer than five words is one
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, Spans, attach, materialise, mix64, steps, words_of
+from .common import Sieve, Spans, attach, materialise, mix64, slices, steps, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Members of a bucket that is compared pair by pair; path length after which what is left of a bucket counts as one
@@ -181,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # A hub's many neighbours are larger than it: this join may be skewed, the next one has few rows a key.
         large = attach(both, materialise(star(both)), "a", 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        small = large.join(star(large), "a")
+        small = large.join(star(large).hint("merge"), "a")
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
         now = materialise(small)
         if (got := mark(now)) == seen:
@@ -223,10 +223,10 @@ def candidates(nodes: DataFrame, texts_of) -> DataFrame:
             texts = materialise(texts_of(again.select("v")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield from _nodes(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
 
-        nodes = materialise(texts.join(again, "v").select("v", "text", "roots").mapInArrow(run, NODES).withColumn("paths", F.array_distinct("paths")))
+        nodes = materialise(texts.join(again.hint("merge"), "v").select("v", "text", "roots").mapInArrow(run, NODES).withColumn("paths", F.array_distinct("paths")))
         level += 1
     out = edges[0]
     for e in edges[1:]:
@@ -294,7 +294,7 @@ def verify(labels: DataFrame, texts: DataFrame) -> DataFrame:
     """(v, links, root) rows: exact links of members of each candidate component, block against block, and where they
     hang together."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = attach(labels, materialise(sizes), "label", labels.count()).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).join(texts, "v")
+    placed = attach(labels, materialise(sizes), "label", labels.count()).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).join(texts.hint("merge"), "v")
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = paired.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "v", (F.col("block") > F.col("other")).cast("int").alias("side"), "text")
 
@@ -332,7 +332,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), identity(F.col(text_col).cast("string")).alias("v"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield from _nodes(batch.column(0), batch.column(1).to_pylist(), None)
 
     nodes = named.select("v", "text").mapInArrow(run, NODES)
@@ -341,14 +341,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def texts_of(wanted: DataFrame) -> DataFrame:
         wanted = materialise(wanted.distinct())
         found = named.filter(Sieve(wanted.select(F.xxhash64("v").alias("key")), "key").passes(F.xxhash64("v"))).groupBy("v").agg(F.first("text").alias("text"))
-        return found.join(wanted, "v", "left_semi")
+        return found.join(wanted.hint("merge"), "v", "left_semi")
 
     labels = materialise(components(materialise(candidates(nodes, texts_of))))
     links = materialise(verify(labels, texts_of(labels.select("v"))))
     number = links.groupBy("v").agg(F.sum("links").alias("links"))
     joined = components(links.select(F.col("v").alias("a"), F.col("root").alias("b")))
     ids = named.groupBy("v").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    known = materialise(ids.join(joined, "v", "left").join(number, "v", "left").select("v", "rep", "copies", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    known = materialise(ids.join(joined.hint("merge"), "v", "left").join(number.hint("merge"), "v", "left").select("v", "rep", "copies", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
     best = known.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "v")).alias("best"), F.count(F.lit(1)).alias("size"))
     return attach(known, materialise(best), "label", known.count()).select("v", "rep", "copies", F.col("best.v").alias("class_v"), F.col("best.rep").alias("class_id"), "links")
 
@@ -369,4 +369,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumn("several", several.passes(F.xxhash64("v")))
     first = rows.filter("several").groupBy("v").agg(F.min_by("row", F.struct(F.col("own").isNull(), "own")).alias("row"))
     gone = found.filter("v != class_v").select("v")
-    return rows.filter("not several").select("row.*").unionByName(first.join(gone, "v", "left_anti").select("row.*"))
+    return rows.filter("not several").select("row.*").unionByName(first.join(gone.hint("merge"), "v", "left_anti").select("row.*"))
+
+
+#: The query's rows in DuckDB, by comparing all pairs that share a shingle.
+SQL = rf"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER (ORDER BY text) AS v, text, min(doc_id) AS rep, count(*) AS copies FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text
+), worded AS (
+  SELECT v, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts
+), shingles AS (
+  SELECT DISTINCT v, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM (SELECT v, w, unnest(range(1, greatest(1, len(w) - {SHINGLE - 1}) + 1)) AS i FROM worded WHERE len(w) > 0)
+), sizes AS (
+  SELECT v, count(*) AS n FROM shingles GROUP BY v
+), pairs AS (
+  SELECT a.v AS a, b.v AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.v < b.v GROUP BY a.v, b.v
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.v = a JOIN sizes y ON y.v = b WHERE 5 * c >= 4 * (x.n + y.n - c)
+), two_way AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT v, v FROM texts UNION SELECT r.a, l.b FROM reach r JOIN two_way l ON l.a = r.b
+), classes AS (
+  SELECT a AS v, min(rep) AS class_id FROM reach JOIN texts ON texts.v = reach.b GROUP BY a
+), degree AS (
+  SELECT a AS v, count(*) AS n_links FROM two_way GROUP BY a
+)
+SELECT d.doc_id, c.class_id, coalesce(g.n_links, 0) AS n_links, t.copies AS n_copies
+FROM documents d JOIN texts t ON t.text = coalesce(d.text, '') JOIN classes c ON c.v = t.v LEFT JOIN degree g ON g.v = t.v
+"""
