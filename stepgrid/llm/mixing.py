@@ -1,13 +1,15 @@
 """Operator 4, mixing sources to target weights.
 
-The words of each source form one sequence, in document order, cut into blocks of ``BLOCK`` words. Source weights give
+The words of each source form one sequence, its documents in order of a hash bucket and then of id, cut into blocks of ``BLOCK`` words. Source weights give
 targets in words, and these the number of blocks that each source gives to the mix. Every output shard draws its source
 counts from a multinomial over what the sources still owe, a source's slots run through a pseudorandom permutation of
 its block indexes (a new one for each pass), and the blocks are joined by index.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
 never taken; a null or repeated id orders after its size and rows of equal id and size may swap, which changes no
-column of the result; the same input and seed give the same mix; an empty table gives no rows.
+column of the result; the same input and seed give the same mix; an empty table gives no rows; a very long text is many
+blocks of its source; other columns, of whatever name, stay as they are. One row a source comes to the driver: more than
+``SOURCES`` sources are an error.
 """
 
 from __future__ import annotations
@@ -21,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64
+from .common import keyed, materialise, mix64
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; blocks of an output shard at least; output shards at most (shards grow beyond that).
 BLOCK, SHARD, SHARDS = 64, 8192, 10_000
-#: Documents of a bucket of the two-level running sum, about.
-BUCKET = 4000
+#: Documents of a bucket of the two-level running sum, about; most sources.
+BUCKET, SOURCES = 4000, 100_000
 
 
 def size(text: Column) -> Column:
@@ -86,28 +88,30 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mix:
-    """``docs``: key, doc_id, size, source_size, target, src, start; ``slots``: shard, slot, src, pass, block."""
+    """``docs``: key, key2, doc_id, size, source_size, target, src, start; ``slots``: shard, slot, src, pass, block."""
 
     docs: DataFrame
     slots: DataFrame
 
     def pieces(self) -> DataFrame:
-        """The spans of words that the mix takes: key, start, pass, from, to (in words of the document)."""
+        """The spans of words that the mix takes: key, key2, start, pass, from, to (in words of the document)."""
         block = lambda at: F.floor(at / F.lit(BLOCK)).cast("long")
-        cut = self.docs.filter("size > 0").select("key", "start", "size", "src", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + F.col("size") - 1))).alias("block"))
+        cut = self.docs.filter("size > 0").select("key", "key2", "start", "size", "src", F.explode(F.sequence(block(F.col("start")), block(F.col("start") + F.col("size") - 1))).alias("block"))
         # The slots grow with the input and their plan has no size to choose by: they are never broadcast.
         took = cut.join(self.slots.select("src", "block", "pass").hint("merge"), ["src", "block"])
         low = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
-        return took.select("key", "start", "pass", low.alias("from"), F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")).alias("to"))
+        return took.select("key", "key2", "start", "pass", low.alias("from"), F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")).alias("to"))
 
 
 def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """Choose the blocks of the mix. ``weights`` repeat over the sources in order of code points, null last."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    sized = materialise(docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size(text).alias("size")))
+    sized = materialise(docs.select(*keyed(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size(text).alias("size")))
     # One row a source comes to the driver.
-    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
+    found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [r["size"] for r in found]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(found))])
@@ -116,12 +120,12 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = (5, 2, 1),
     known = spark.createDataFrame([(r.source, i, n, t, b, -(-r.docs // BUCKET)) for i, (r, n, t, b) in enumerate(zip(found, sizes, wanted, blocks))], "source string, src int, source_size long, target double, blocks long, buckets long")
 
     # Running sums in two levels, so that a large source is many windows.
-    rows = sized.join(known.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.col("buckets")))
+    rows = sized.join(known.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source").withColumn("bucket", F.pmod(F.xxhash64("key", "key2"), F.col("buckets")))
     sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
     before = sums.select("src", "bucket", (F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("src", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size", "key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("src", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "size", "key", "key2").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     placed = rows.withColumn("_inside", inside).join(before, ["src", "bucket"]).withColumn("start", F.col("before") + F.col("_inside"))
-    placed = placed.select("key", "doc_id", "size", "source_size", "target", "src", "start")
+    placed = placed.select("key", "key2", "doc_id", "size", "source_size", "target", "src", "start")
 
     drawn = draw(slots, seed)
     counts = spark.createDataFrame(drawn, "shard long, src long, first long, n long") if len(drawn) else spark.createDataFrame([], "shard long, src long, first long, n long")
@@ -144,17 +148,17 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = (5, 2, 1),
 
 def taken(mixed: Mix) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every document."""
-    words = mixed.pieces().groupBy("key", "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
-    return mixed.docs.join(words, ["key", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    words = mixed.pieces().groupBy("key", "key2", "start").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
+    return mixed.docs.join(words, ["key", "key2", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, mixed: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` as the mix takes them: one row for each pass over a document, its text cut to the words taken (a text
     taken whole stays as it is). Equal rows count once."""
-    pieces = mixed.pieces().groupBy("key", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_cut"))
-    one = pieces.groupBy("key", "pass").agg(F.min_by("_cut", "start").alias("cut"))
+    pieces = mixed.pieces().groupBy("key", "key2", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("_cut"))
+    one = pieces.groupBy("key", "key2", "pass").agg(F.min_by("_cut", "start").alias("cut"))
     text = F.col(text_col).cast("string")
-    joined = docs.select(F.struct("*").alias("row"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("key")).join(one, "key")
+    joined = docs.select(F.struct("*").alias("row"), text.alias("text"), *keyed(id_col, text_col)).join(one, ["key", "key2"])
     total = F.aggregate("cut", F.lit(0).cast("long"), lambda a, x: a + x["to"] - x["from"])
     words = F.when(total < size(F.col("text")), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     part = F.array_join(F.transform("cut", lambda x: F.array_join(F.slice("words", (x["from"] + 1).cast("int"), (x["to"] - x["from"]).cast("int")), " ")), "\n")
