@@ -1,16 +1,18 @@
 """Operator 2, toxicity over a noisy channel.
 
 1. A character trigram model is counted over all texts.
-2. Words written with digits or signs for letters, letter by letter, or with stretched letters become lattices of what
+2. Words written with digits or signs for letters, letter by letter, with separators or with stretched letters become lattices of what
    each sign may stand for; the Viterbi path under the character model and the channel's costs is the restored word. A
    word may end in each gap between spaced letters, and does in gaps wider than the run's narrowest.
-3. A classifier learned from labelled rows scores the restored text: each stem (word or word prefix) that is
+3. Restored words stand behind the text that they were found in, so that a wrong restoration hides nothing. A classifier
+   learned from labelled rows scores the restored text: each stem (word or word prefix) that is
    significantly more frequent in toxic rows carries the probability of a toxic row that holds it, and a logistic model
    of a text's worst stem, how many such words it has and how many words at all gives the score.
 
 Defined results: a null or empty text scores as one without any stem; labels with a null id or label are left out, and
 repeated labels of an id count once, as toxic if any is; with no labelled rows every score is 0; repeated rows give
-repeated equal rows; a null id counts as the empty text for the fold.
+repeated equal rows; a null id counts as the empty text for the fold; whole texts and spans of any length are decoded;
+an empty table gives no rows; other columns, of whatever name, are left aside.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, held_out, steps, sum_vectors, words_of
+from .common import Spans, held_out, slices, steps, sum_vectors, words_of
 
 #: Labelled rows that the classifier is fitted on, about (a bound on the sample).
 TRAIN_ROWS = 12_000
@@ -62,6 +64,9 @@ _IS_LETTER[128:] = True
 _IS_LETTER[ord("a") : ord("z") + 1] = True
 _IS_SIGN = np.zeros(256, bool)
 _IS_SIGN[[ord(c) for c in SIGNS]] = True
+#: What may stand between the letters of a word besides blanks.
+_IS_JOIN = np.zeros(256, bool)
+_IS_JOIN[[ord(c) for c in ".-_"]] = True
 _IS_LEAD = np.ones(256, bool)
 _IS_LEAD[0x80:0xC0] = False
 
@@ -72,7 +77,7 @@ def trigram_counts(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SYMBOLS**3)
-        for batch in batches:
+        for batch in slices(batches):
             for _, part in steps([t.lower() if t else "" for t in batch.column(0).to_pylist()]):
                 codes = np.frombuffer(b" ".join(part).decode().encode("utf-16-le", "surrogatepass"), np.uint16)
                 s = np.concatenate(([0, 0], _OF_CODE[codes], [0, 0]))
@@ -151,8 +156,8 @@ def viterbi(span: str, model: np.ndarray) -> str:
 
 
 def disguised(data: np.ndarray) -> list[tuple[int, int]]:
-    """Byte spans of lower-case text that may be disguised words: signs beside letters, stretched letters, or single
-    letters in a row."""
+    """Byte spans of lower-case text that may be disguised words: signs beside letters, stretched letters, words cut by a
+    stop, hyphen or underscore, or single letters in a row."""
     letter, sign = _IS_LETTER[data], _IS_SIGN[data]
     start, end = words_of(data, _IS_LETTER | _IS_SIGN)
     if not len(start):
@@ -168,13 +173,22 @@ def disguised(data: np.ndarray) -> list[tuple[int, int]]:
     lead = np.concatenate(([0], np.cumsum(_IS_LEAD[data])))
     single = (lead[end] - lead[start] == 1) & (letter[start] | sign[start])
     near = np.zeros(len(start), bool)
-    near[:-1] = single[:-1] & single[1:] & (start[1:] - end[:-1] <= 2)
+    near[:-1] = single[:-1] & single[1:] & (start[1:] - end[:-1] <= 3)
     near[:-1] &= data[end[:-1]] != 10
-    edge = np.diff(np.concatenate(([0], near.astype(np.int8), [0])))
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-        if b - a >= 2:
-            spans.append((int(start[a]), int(end[b])))
-    return spans
+    cut = np.zeros(len(start), bool)
+    cut[:-1] = (start[1:] - end[:-1] == 1) & _IS_JOIN[data[end[:-1]]] & letter[end[:-1] - 1] & letter[start[1:]]
+    for joined, least in ((near, 2), (cut, 1)):
+        edge = np.diff(np.concatenate(([0], joined.astype(np.int8), [0])))
+        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            if b - a >= least:
+                spans.append((int(start[a]), int(end[b])))
+    # A span inside a longer one is restored with that.
+    out, done = [], -1
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if b > done:
+            out.append((a, b))
+            done = b
+    return out
 
 
 class Restorer:
@@ -284,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         restorer = Restorer(characters)
         sums = np.zeros((2, 1 << STEM_BITS), np.int32)
         numbers = [0, 0]
-        for batch in batches:
+        for batch in slices(batches):
             label = np.array([int(bool(x)) for x in batch.column(1).to_pylist()])
             for k in (0, 1):
                 numbers[k] += int((label == k).sum())
@@ -320,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, table = Restorer(characters), model.table()
-        for batch in batches:
+        for batch in slices(batches):
             label = batch.column(1).to_pylist()
             for at, part in steps([t.lower() if t else "" for t in batch.column(0).to_pylist()]):
                 x = evidence(*restorer.restored(part), table)
@@ -340,7 +354,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, table = Restorer(model.characters), model.table()
-        for batch in batches:
+        for batch in slices(batches):
             out = np.zeros(batch.num_rows)
             for at, part in steps([t.lower() if t else "" for t in batch.column(2).to_pylist()]):
                 x = evidence(*restorer.restored(part), table)
