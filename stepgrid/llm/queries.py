@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, url_filter
+from . import chat, ngram_join, secrets, url_filter
 from .common import held_out, table
 
 
@@ -42,8 +42,6 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import secrets
-
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
@@ -61,8 +59,6 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import ngram_join
-
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
@@ -83,4 +79,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_multiprobe_lsh, op2_toxicity, op3_media_webp, op4_mixing, op5_chat_windows, op6_secrets, op7_byte_bpe, op8_ngram_join, op9_language_id, op10_url_filter)}
 
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_windows": chat.SQL, "op10_url_filter": url_filter.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat_windows": chat.SQL, "op6_secrets": secrets.SQL, "op8_ngram_join": ngram_join.SQL, "op10_url_filter": url_filter.SQL}

@@ -8,7 +8,8 @@ specific active domain decides; on a tie the allow list does.
 Defined results: a URL that is null or has no host matches nothing and is kept; hosts are lower-case, without user,
 port or final dot; of entries of one list, domain and date the last by action holds ("remove" after "add"); an entry
 holds from its date on; a null fetch time matches nothing; repeated captures give repeated equal rows;
-columns of a capture that are called as a result column are replaced by it.
+columns of a capture that are called as a result column, in any case of letters, are replaced by it; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """``captures`` with host, verdict ("block", "allow" or "none"), the domain that decided, and since when it holds."""
-    own = [c for c in captures.columns if c not in RESULT]
+    own = [c for c in captures.columns if c.lower() not in RESULT]
     rows = captures.select(F.struct(*own).alias("row"), host(F.col(url_col)).alias("host"), F.col(time_col).alias("at"))
     asked = rows.filter(F.col("host").isNotNull()).select("host", "at").distinct()
     chain = asked.select("host", "at", F.posexplode(domains(F.col("host"))).alias("depth", "domain"))

@@ -41,6 +41,24 @@ def test_recall_on_the_table(spark, sf):
     assert np.mean([len(set(found[q]) & set(want[q])) / 5 for q in asked]) >= 0.9
 
 
+def test_examined_share_falls_as_the_table_grows(spark):
+    """Vectors around many centres: recall stays, and the share of rows that a query is compared with falls."""
+    shares = []
+    for n in (2000, 16_000):
+        rng = np.random.default_rng(6)
+        m = rng.normal(size=(n // 20, 32))[rng.integers(0, n // 20, n)] + 0.6 * rng.normal(size=(n, 32))
+        rows = [(i, v.tolist()) for i, v in enumerate(m)]
+        asked = list(range(0, n, 50))
+        got, seen = {}, {}
+        for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+            seen[r.query_id] = r.examined
+        want = brute_neighbours(rows, asked)
+        assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in asked]) >= 0.9
+        shares.append(np.mean(list(seen.values())) / n)
+    assert shares[1] < 0.6 * shares[0] and shares[1] < 0.2, shares
+
+
 def test_odd_vectors(spark):
     bad = [(900, None), (901, [0.0, 0.0, 0.0]), (902, [1.0, None, 0.0]), (903, [math.nan, 1.0, 0.0]), (904, [math.inf, 1.0, 0.0]), (905, []), (None, [1.0, 1.0, 1.0])]
     rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0])]
@@ -195,6 +213,60 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_pipeline_equals_brute_force(spark, sf, tmp_path):
+    """Every stage's rows from its predecessor's, in plain Python and by the tiktoken library."""
+    import tiktoken
+    from test_texts import base_spans, brute_classes
+
+    from stepgrid.llm import bpe, langid, mixing, secrets
+
+    raw = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = [raw.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        df = raw if len(kept) == 1 else spark.read.parquet(str(tmp_path / str(len(kept) - 1)))
+        stage(spark, df, sf).write.parquet(str(tmp_path / str(len(kept))))
+        kept.append(spark.read.parquet(str(tmp_path / str(len(kept)))).collect())
+    start, lang, one, clean, mixed, coded = kept
+    rows = lambda rs: sorted(map(repr, rs))
+    rejected = {r.doc_id for r in langid.predict(raw, langid.train(raw)).collect() if r.rejected}
+    assert rows(lang) == rows(r for r in start if r.doc_id not in rejected)
+    classes = {i: c for i, c, _, _ in brute_classes([(r.doc_id, r.text or "") for r in lang])}
+    assert rows(one) == rows(r for r in lang if classes[r.doc_id] == r.doc_id)
+
+    owners, found = {}, {}
+    for r in [*start, *one]:
+        found[r.doc_id] = []
+        for s in base_spans(r.text or ""):
+            kind, a, b = s.split(":")
+            hit = r.text[int(a) : int(b)]
+            value = re.search(r"[A-Za-z0-9+/_.=-]+$", hit).group() if kind == "assign" else hit
+            owners.setdefault(value, set()).add(r.source)
+            found[r.doc_id].append((int(a), int(b), value))
+    want = {}
+    for r in one:
+        at, out = 0, ""
+        for a, b, value in sorted(found[r.doc_id]):
+            if len(owners[value]) < secrets.EXAMPLE_OWNERS:
+                out, at = (out + r.text[at:a] + "[SECRET]" if a >= at else out), max(at, b)
+        want[r.doc_id] = out + (r.text or "")[at:] if at else r.text
+    assert {r.doc_id: r.text for r in clean} == want and any(v != r.text for r in one for v in [want[r.doc_id]])
+    assert rows(r.asDict() | {"text": "", "n_chars": 0} for r in clean) == rows(r.asDict() | {"text": "", "n_chars": 0} for r in one)
+
+    size = lambda t: len(re.findall(mixing.WORD, t or ""))
+    spent = {}
+    for r in mixed:
+        spent[r.doc_id] = spent.get(r.doc_id, 0) + size(r.text)
+    taken = {r.doc_id: r.taken for r in mixing.taken(mixing.mix(spark.read.parquet(str(tmp_path / "3")))).collect()}
+    assert spent == {i: n for i, n in taken.items() if n}
+    whole = {r.doc_id: re.findall(mixing.WORD, r.text or "") for r in clean}
+    assert all(set(re.findall(mixing.WORD, r.text)) <= set(whole[r.doc_id]) for r in mixed)
+
+    path, pattern = queries.tokenizer()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.vocabulary(path).ranks, special_tokens={})
+    ids = [(r.doc_id, np.array(library.encode_ordinary(r.text), "<u4"), r.text) for r in mixed]
+    assert rows((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in coded) == rows((i, len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, x, t in ids)
+
+
 def test_pipeline_of_odd_rows(spark, odd, empty, sf):
     for df in (odd, empty):
         for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -205,8 +207,7 @@ def test_bpe_equals_tiktoken(spark, odd, empty, sf):
 
     path, pattern = queries.tokenizer()
     own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.vocabulary(path).ranks, special_tokens={})
-    sample = spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 20000").select("doc_id", "text")
-    for df in (odd.filter("length(text) < 100000 or text is null"), sample):
+    for df in (odd, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")):
         want = []
         for i, t in texts(df):
             ids = np.array(own.encode_ordinary(t), "<u4")
@@ -297,6 +298,15 @@ def test_entropy_reads_the_whole_value(spark):
     assert [found[i] for i in range(6)] == [1, 0, 0, 1, 0, 1]
 
 
+def test_owners_are_counted_in_the_corpus_too(spark):
+    """A value that copies outside ``docs`` show to be an example stays."""
+    rows = [(i, "password=correcthorse77 ok", f"owner{i}") for i in range(4)] + [(9, "token=Zx81kQp7Lw22 here", "owner0")]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = corpus.filter("doc_id in (0, 9)")
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {0: "[SECRET] ok", 9: "[SECRET] here"}
+    assert {r.doc_id: r.text for r in secrets.redact(docs, corpus=corpus).collect()} == {0: "password=correcthorse77 ok", 9: "[SECRET] here"}
+
+
 def test_redaction_keeps_rows_and_columns(odd):
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -328,6 +338,36 @@ def test_mix(spark, odd, empty, sf):
         assert by[s][0]["target"] == pytest.approx(t) and abs(taken - t) < max(200, 0.01 * t)
 
 
+def test_mix_equals_a_replay_of_its_slots(spark, odd, sf):
+    """``taken`` from every slot's block, one after the other, in plain Python."""
+    for df in (odd, spark.read.parquet(f"{sf}/documents.parquet")):
+        mixed = mixing.mix(df)
+        docs, slots = [r.asDict() for r in mixed.docs.collect()], [r.asDict() for r in mixed.slots.collect()]
+        by = {}
+        for d in docs:
+            by.setdefault(d["src"], []).append(d)
+        drawn = {}
+        for x in slots:
+            drawn.setdefault(x["src"], []).append(x)
+        taken = Counter()
+        for src, ds in by.items():
+            ds = sorted((d for d in ds if d["size"]), key=lambda d: d["start"])
+            starts = [d["start"] for d in ds]
+            assert starts == list(itertools.accumulate([0, *(d["size"] for d in ds)]))[:-1]
+            blocks = -(-sum(d["size"] for d in ds) // mixing.BLOCK)
+            own = drawn.get(src, [])
+            assert sorted(x["slot"] for x in own) == list(range(len(own))) and all(0 <= x["block"] < blocks and x["pass"] == x["slot"] // blocks for x in own)
+            assert len({(x["pass"], x["block"]) for x in own}) == len(own)
+            for x in own:
+                low, high = x["block"] * mixing.BLOCK, (x["block"] + 1) * mixing.BLOCK
+                for d in ds[max(0, np.searchsorted(starts, low, "right") - 1) :]:
+                    if d["start"] >= high:
+                        break
+                    taken[d["key"], d["start"]] += max(0, min(high, d["start"] + d["size"]) - max(low, d["start"]))
+        want = sorted((repr(d["doc_id"]), d["size"], d["source_size"], d["target"], taken[d["key"], d["start"]] if d["size"] else 0) for d in docs)
+        assert sorted((repr(r.doc_id), r["size"], r.source_size, r.target, r.taken) for r in mixing.taken(mixed).collect()) == want
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([200, 166.6666667, 83.3333333])
     assert mixing.targets([10, 0], [1, 1]) == pytest.approx([15, 0]) and mixing.targets([0], [1]) == [0]
@@ -422,6 +462,35 @@ def test_language_on_held_out_rows(spark, sf):
     assert all(r.held_out == held_out_of(i) and 0 <= r.score <= 1 for i, r in got.items())
 
 
+def test_language_equals_a_plain_count(spark, odd, sf):
+    """Counts, weights and cosines letter by letter in plain Python, against the model's centroids."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    learned = [r.text for r in docs.select("doc_id", "lang", "text").collect() if not held_out_of(r.doc_id) and r.lang is not None and r.text is not None]
+
+    def counted(text):
+        data = [32, 32] + [int(langid._FOLD[b]) for b in text.lower().encode("utf-8", "surrogatepass")] + [32, 32]
+        bins = Counter(int(langid._HASH[0][a] ^ langid._HASH[1][b] ^ langid._HASH[2][c]) for a, b, c in zip(data, data[1:], data[2:]))
+        bins.pop(langid._BLANK, None)
+        return bins
+
+    df = Counter(b for t in learned for b in counted(t))
+    assert [max(0.0, math.log((len(learned) + 1) / (df[b] + 0.5))) for b in range(langid.BINS)] == pytest.approx(model.idf.tolist(), abs=1e-5)
+    for table in (docs, odd):
+        got = {}
+        for r in langid.predict(table, model).collect():
+            got.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+        for i, t in texts(table):
+            v = {b: math.log1p(n) * float(model.idf[b]) for b, n in counted(t).items()}
+            norm = math.sqrt(sum(x * x for x in v.values())) or 1
+            cosine = [sum(x * float(c[b]) for b, x in v.items()) / norm for c in model.centroids]
+            by = [max(0.0, max(c for c, o in zip(cosine, model.owner) if o == k)) for k in range(len(model.langs))]
+            known = any(c.isalpha() for c in t)
+            top = max(by) if known else 0.0
+            near = {m for m, x in zip(model.langs, by) if x > top - 1e-4} if known else {langid.UNKNOWN}
+            assert any(lang in near and abs(score - top) < 1e-4 for lang, score in got[i]), i
+
+
 def test_language_of_odd_rows(odd, empty):
     found = langid.predict(odd, langid.train(odd))
     for r in found.join(odd.select("doc_id", "text").filter("text is null or trim(text) in ('', '1 2 3 4 5')"), "doc_id").collect():
@@ -443,6 +512,52 @@ def test_toxicity_on_held_out_rows(spark, sf):
     assert all(r.held_out == held_out_of(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_viterbi_equals_all_paths(spark, sf):
+    model = toxicity.log_model(toxicity.trigram_counts(spark.read.parquet(f"{sf}/documents.parquet").select("text")))
+
+    def cost(choice):
+        a = b = 0
+        score = 0.0
+        for letters, paid in choice:
+            score -= paid
+            for c in letters:
+                z = toxicity._SYMBOL.get(c, toxicity.SYMBOLS - 1)
+                score, a, b = score + float(model[a, b, z]), b, z
+        return score + float(model[a, b, 0])
+
+    for span in ("1d10t", "a$$", "h3ll0!", "k.i.l.l", "s  t o p", "looooser", "b@d", "5tup1d", "(x)", "***", "st00", "f*ck", "i d i o t"):
+        scored = [(cost(c), "".join(x for x, _ in c)) for c in itertools.product(*toxicity.options(span))]
+        best = max(s for s, _ in scored)
+        assert toxicity.viterbi(span, model) in {w for s, w in scored if s > best - 1e-4}, span
+
+
+def test_toxicity_equals_a_plain_count(spark, sf, odd):
+    """Stems, evidence and score word by word in plain Python, from the model's tables."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    chances = dict(zip(model.bins.tolist(), model.chances.tolist()))
+    restorer, bins = toxicity.Restorer(model.characters), {}
+
+    def chance(stem):
+        if stem not in bins:
+            spans = toxicity.Spans(np.frombuffer(stem, np.uint8))
+            bins[stem] = int(spans.hash(np.array([0]), np.array([len(stem)]))[0] >> np.uint64(64 - toxicity.STEM_BITS))
+        return chances.get(bins[stem], 0.0)
+
+    for table in (docs, odd):
+        got = {}
+        for r in toxicity.score(table, model).collect():
+            got.setdefault(r.doc_id, []).append((r.score, r.predicted))
+        for i, t in texts(table):
+            restored = restorer.restored([t.lower().encode()])[0].tobytes()
+            words = re.findall(rb"[a-z\x80-\xff]+", restored)
+            each = [max(map(chance, {w, *(w[:n] for n in toxicity.PREFIXES if len(w) > n)})) for w in words]
+            worst = max([0.01, *each])
+            x = [1, math.log(worst / (1 - worst)), math.log1p(sum(c > 0 for c in each)), math.log1p(sum(c >= np.float32(0.7) for c in each)), math.log1p(len(words))]
+            score = 1 / (1 + math.exp(-min(40, max(-40, sum(a * b for a, b in zip(x, model.weights))))))
+            assert any(abs(g - score) < 1e-6 and p == int(g >= 0.5) for g, p in got[i]), i
+
+
 def test_disguised_words_are_restored(spark):
     df = spark.createDataFrame([("you are a stupid moron idiot stupid moron idiot",)] * 50, "text string")
     model = toxicity.log_model(toxicity.trigram_counts(df))
@@ -465,6 +580,7 @@ def test_spaced_sentences_are_restored_whole(spark):
     assert restored(spaced(long)) == long and restored(spaced(long, " ", " ")) == long
     assert restored("st" + "u" * 90 + "pid") == "stupid" and restored("you a$$") == "ass" and restored("idiot!") == "" and restored("idi0t!!") == "idiot"
     assert len(restored(spaced("idiot " * 5000))) == 5000 * 6 - 1
+    assert restored("an id.iot too") == "idiot" and restored("stu-pid") == "stupid" and restored("s - t - u - p - i - d") == "stupid" and restored("a55") == "ass"
 
 
 def test_toxicity_of_spaced_sentences(spark):
