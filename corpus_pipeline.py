@@ -21,10 +21,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans (operator 6): credentials that aren't widely copied examples are replaced; every document stays."""
+    """Secret scans (operator 6): credentials that aren't widely copied examples are replaced; every document stays.
+    Owners are counted over the raw documents too: copies that show a value to be an example are gone from ``docs``."""
     from stepgrid.llm import secrets
 
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return secrets.redact(docs, corpus=raw).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
