@@ -110,7 +110,11 @@ def literal(text: str, t: ValueType) -> Column:
             digits += c
         if not digits.strip("+-"):
             raise InvalidQuery(f"{text!r} is not a number")
-        return F.lit(int(digits)).cast("decimal(20,0)" if t.name == "unsigned long" else "bigint")
+        if t.name == "unsigned long":
+            return F.lit(digits).cast("decimal(20,0)")
+        if not -(1 << 63) <= int(digits) < 1 << 63:
+            raise InvalidQuery(f"{text!r} is beyond 64 bits")
+        return F.lit(int(digits)).cast("bigint")
     if t.kind == "real":
         try:
             return F.lit(float(text))

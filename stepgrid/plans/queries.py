@@ -12,7 +12,7 @@ from ..operators import query as q
 from ..operators import reading, slicing, stats, steps
 from ..operators.selection import Auto, Block, Box, Points, SubBlock, Whole, intersect, to_nd
 from ..sources.dataset import Grid, absolute, joined, own_steps
-from . import arrays
+from . import arrays, inquiry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -636,6 +636,7 @@ _REGISTERED |= {
     catalog_differences: "SELECT * FROM (VALUES ('customer', 'missing right'), ('size', 'missing left')) t(name, kind)",
     stream_query: "SELECT * FROM events_cells WHERE c0 BETWEEN 200 AND 3199 AND ((value > 150 AND value <= 170) OR value < 1)",
 }
+_REGISTERED |= inquiry.REGISTERED
 for _f, _sql in _REGISTERED.items():
     register(_f.__name__, _sql, _f)
 

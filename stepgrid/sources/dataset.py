@@ -198,13 +198,14 @@ class Dataset:
         rows = [(a.name, a.type, a.nelems, [str(v) for v in a.values]) for a in self.attributes.values()]
         return self.spark.createDataFrame(rows, "name string, type string, nelems int, values array<string>")
 
-    def listing(self, mask: str = "*", regex: bool = False) -> DataFrame:
-        """Type, name and dimensions of the variables that a mask selects, steps first."""
+    def listing(self, mask: str | None = None, regex: bool = False) -> DataFrame:
+        """Type, name and dimensions of the variables that a mask selects (of all without one), steps first."""
         from ..functions.masks import matches
 
         shape = F.when(F.size("dims") == 0, F.when(F.col("nsteps") > 1, F.concat(F.col("nsteps").cast("string"), F.lit("*scalar"))).otherwise("scalar"))
         dims = F.concat(F.when(F.col("nsteps") > 1, F.concat(F.col("nsteps").cast("string"), F.lit("*"))).otherwise(""), F.lit("{"), F.array_join(F.col("dims").cast("array<string>"), ", "), F.lit("}"))
-        return self.catalog().filter(matches(F.col("name"), mask, regex)).select("type", "name", F.coalesce(shape, dims).alias("shape"))
+        chosen = F.lit(True) if mask is None else matches(F.col("name"), mask, regex)
+        return self.catalog().filter(chosen).select("type", "name", F.coalesce(shape, dims).alias("shape"))
 
     # ---- storage
     def save(self, path: str, mode: str = "overwrite", step_offset: int = 0) -> None:

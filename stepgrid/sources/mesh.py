@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..functions.types import InvalidName
+from ..operators.selection import Box
 from .dataset import Attribute, Dataset
 
 # Where meshes and links are described, and the kinds of meshes.
@@ -80,6 +84,22 @@ def read(ds: Dataset, name: str, other: Dataset | None = None) -> Mesh:
     return Mesh(name, kind, properties)
 
 
+def points(spark: SparkSession, mesh: Mesh) -> DataFrame:
+    """The points of a uniform mesh: ``at`` (row-major) and x0..; a spacing that isn't given leads to the maximum, or is 1."""
+    from ..operators.reading import box_cells
+
+    if mesh.kind != "uniform":
+        raise InvalidName("only a uniform mesh gives its points by rule")
+    dims, get = mesh.properties["dimensions"], mesh.properties.get
+    cells, out = box_cells(spark, Box([0] * len(dims), dims)), [F.col("at")]
+    for k, n in enumerate(dims):
+        origin = get("origins", [0] * len(dims))[k]
+        most = get("maximums", [None] * len(dims))[k]
+        step = get("spacings", [None if most is None else (most - origin) / max(1, n - 1)] * len(dims))[k]
+        out.append((F.lit(float(origin)) + F.col(f"c{k}") * F.lit(1.0 if step is None else float(step))).alias(f"x{k}"))
+    return cells.select(out)
+
+
 def put_on(ds: Dataset, variable: str, mesh: str, centering: str = "point") -> None:
     """Say which mesh a variable lies on, and whether on its points or cells."""
     name = ds.variable(variable).name
