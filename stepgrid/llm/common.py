@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 18
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE = 1024
+#: Rows of a partition, about, where a table turns out to be small.
+ROWS = 50_000
 #: A key of more than 1 / HEAVY of all rows is heavy; at any size there are fewer than HEAVY of those.
 HEAVY = 10_000
 #: 64-bit words of a sieve at most (32 MiB), and bits that a key gets below that.
@@ -48,6 +50,12 @@ def keyed(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(*both).alias("key"), F.xxhash64(F.lit(7), *both).alias("key2")]
 
 
+def sized(df: DataFrame, rows: int, each: int = ROWS) -> DataFrame:
+    """A table known to have at most so many rows, in no more partitions than these need. Many small stages otherwise
+    write as many files as they have partitions, each of next to nothing."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def attach(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with ``values``, a materialised table of one row a key, whose ``size`` is the key's rows out of
     ``total``. Heavy keys, fewer than ``HEAVY``, are joined by broadcast where their rows lie; a shuffle joins the others,
@@ -66,8 +74,8 @@ class Sieve:
     keys it passes more and more values; what it passes must be joined exactly."""
 
     def __init__(self, keys: DataFrame, key: str):
-        number, self.words = keys.count(), 64
-        while self.words < SIEVE_WORDS and self.words * 64 < SIEVE_BITS * number:
+        self.number, self.words = keys.count(), 64
+        while self.words < SIEVE_WORDS and self.words * 64 < SIEVE_BITS * self.number:
             self.words *= 2
         k = F.col(key)
         bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(k, s).bitwiseAND(F.lit(63)).cast("int")) for s in (40, 46, 52, 58)]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, Spans, attach, materialise, mix64, slices, steps, words_of
+from .common import ROWS, Sieve, Spans, attach, materialise, mix64, sized, slices, steps, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Members of a bucket that is compared pair by pair; path length after which what is left of a bucket counts as one
@@ -174,20 +174,23 @@ def components(edges: DataFrame) -> DataFrame:
     def star(by: DataFrame) -> DataFrame:
         return by.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("size"))
 
-    now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     seen = mark(now)
     while seen[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        now = sized(now, seen[0])
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         # A hub's many neighbours are larger than it: this join may be skewed, the next one has few rows a key.
-        large = attach(both, materialise(star(both)), "a", 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        small = large.join(star(large).hint("merge"), "a")
+        large = attach(both, materialise(sized(star(both), 2 * seen[0])), "a", 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+        large = materialise(sized(large.distinct(), seen[0]))
+        small = sized(large.join(star(large).hint("merge"), "a"), seen[0])
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
-        now = materialise(small)
+        now = materialise(sized(small, seen[0]))
         if (got := mark(now)) == seen:
             break
         seen = got
-    return now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "v").unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("label")).distinct())
+    members, roots = now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "v"), now.select(F.col("b").alias("v"), F.col("b").alias("label")).distinct()
+    return sized(members.unionByName(roots), 2 * seen[0])
 
 
 def candidates(nodes: DataFrame, texts_of) -> DataFrame:
@@ -196,29 +199,33 @@ def candidates(nodes: DataFrame, texts_of) -> DataFrame:
     edges: list[DataFrame] = []
     level, texts = 1, None
     while True:
-        counts = materialise(nodes.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        total = nodes.agg(F.sum(F.size("paths"))).first()[0] or 0
-        each = materialise(nodes.withColumn("paths", Sieve(counts, "path").passing(F.col("paths"))).filter(F.size("paths") > 0))
-        shared = materialise(attach(each.select("v", "n", "s1", "s2", F.explode("paths").alias("path")), counts, "path", total))
+        number, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("paths")), F.lit(0))).first()
+        counts = nodes.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        counts = materialise(sized(counts, total))
+        each = materialise(sized(nodes, number, ROWS // 8).withColumn("paths", Sieve(counts, "path").passing(F.col("paths"))).filter(F.size("paths") > 0))
+        shared = materialise(sized(attach(each.select("v", "n", "s1", "s2", F.explode("paths").alias("path")), counts, "path", total), total))
         # A small bucket is one short list; its pairs are made and compared in place.
-        members = shared.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("v", "n", "s1", "s2"))).alias("all"))
+        members = sized(shared.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("v", "n", "s1", "s2"))).alias("all")), total)
         ahead = members.select("all", F.posexplode("all").alias("at", "x"))
         pairs = ahead.select("x", F.explode(F.slice("all", F.col("at") + 2, SMALL)).alias("y"))
         edges.append(pairs.filter(alike("x", "y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
         hot = shared.filter(F.col("size") > SMALL).select("path", "size", F.struct("v", "n", "s1", "s2").alias("x"))
-        pivots = materialise(hot.groupBy("path").agg(F.min("x").alias("pivot"), F.first("size").alias("size")))
-        hot = materialise(attach(hot.drop("size"), pivots, "path", total).withColumn("near", alike("x", "pivot")))
-        edges.append(hot.filter("near").select(F.col("x.v").alias("a"), F.col("pivot.v").alias("b")))
+        if hot.isEmpty():
+            break
+        pivots = materialise(sized(hot.groupBy("path").agg(F.min("x").alias("pivot"), F.first("size").alias("size")), total))
+        hot = attach(hot.drop("size"), pivots, "path", total).select("path", "size", "x.v", F.col("pivot.v").alias("pivot"), alike("x", "pivot").alias("near"))
+        hot = materialise(sized(hot, total))
+        edges.append(hot.filter("near").select(F.col("v").alias("a"), F.col("pivot").alias("b")))
         # A bucket without a better split is one candidate group, which the exact comparison takes apart block by block.
         whole = F.lit(True) if level >= DEEPEST else (F.col("like") >= DENSE * F.col("size")) & F.lit(level > 1)
         mixed = hot.groupBy("path").agg(F.count_if("near").alias("like"), F.first("size").alias("size")).filter(F.col("like") < F.col("size"))
-        mixed = materialise(mixed.select("path", "size", whole.alias("whole")))
-        rest = materialise(attach(hot.select("path", "x.v", F.col("pivot.v").alias("pivot"), "near"), mixed, "path", total))
+        mixed = materialise(sized(mixed.select("path", "size", whole.alias("whole")), total))
+        rest = materialise(sized(attach(hot.drop("size"), mixed, "path", total), total))
         edges.append(rest.filter("whole and not near").select(F.col("v").alias("a"), F.col("pivot").alias("b")))
         left = rest.filter("not whole")
         if left.isEmpty():
             break
-        again = left.groupBy("v").agg(F.collect_list("path").alias("roots"))
+        again = sized(left.groupBy("v").agg(F.collect_list("path").alias("roots")), total)
         if texts is None:
             texts = materialise(texts_of(again.select("v")))
 
@@ -231,7 +238,7 @@ def candidates(nodes: DataFrame, texts_of) -> DataFrame:
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return out.distinct()
+    return out
 
 
 def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -340,8 +347,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         wanted = materialise(wanted.distinct())
-        found = named.filter(Sieve(wanted.select(F.xxhash64("v").alias("key")), "key").passes(F.xxhash64("v"))).groupBy("v").agg(F.first("text").alias("text"))
-        return found.join(wanted.hint("merge"), "v", "left_semi")
+        some = Sieve(wanted.select(F.xxhash64("v").alias("key")), "key")
+        found = named.filter(some.passes(F.xxhash64("v"))).groupBy("v").agg(F.first("text").alias("text"))
+        return sized(found.join(wanted.hint("merge"), "v", "left_semi"), some.number, ROWS // 16)
 
     labels = materialise(components(materialise(candidates(nodes, texts_of))))
     links = materialise(verify(labels, texts_of(labels.select("v"))))
