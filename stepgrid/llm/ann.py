@@ -9,8 +9,8 @@ exact cosine. Large buckets are split over partitions, and their queries go to e
 ``m`` grows with the logarithm of the number of vectors, so that a table has about as many cells as vectors; how many
 buckets are visited follows from a bounded sample of queries, whose true neighbours are found by brute force: the least
 number that finds ``RECALL`` of them. Queries that find fewer than k visit ``PROBES`` buckets a table in a second round;
-those still short are compared with all rows, block by block. ``examined`` says how many rows a query was compared with:
-a share of all that falls as the table grows, slowly where neighbours are hardly nearer than other rows are.
+those still short are compared with all rows, block by block. ``examined`` says how many rows a query was compared with (a row that it meets in two partitions counts
+twice): a share of all that falls as the table grows, slowly where neighbours are hardly nearer than other rows are.
 
 Defined results: vectors that are null, zero, of another length than the commonest (of equally common ones that of the
 smallest id), or that hold null or non-finite
@@ -36,9 +36,10 @@ NEAREST = 5
 #: Tables, and the width of a cell (a unit vector's projection has deviation 1).
 TABLES, WIDTH = 6, 3.0
 #: Vectors a cell, about; most projections of a table; most buckets visited in it; recall that the sample must reach.
-OCCUPANCY, MOST, PROBES, RECALL = 4, 24, 1024, 0.95
-#: Sample queries; vectors of a partition, about; rows of a bucket before it is split, at least; split buckets at most.
-SAMPLE, PART, SPLIT, SPLITS = 64, 20_000, 8192, 100_000
+OCCUPANCY, MOST, PROBES, RECALL = 1, 24, 2048, 0.95
+#: Sample queries; bytes of a partition's vectors, about; rows of a bucket before it is split, at least; split buckets at
+#: most.
+SAMPLE, PART, SPLIT, SPLITS = 128, 1 << 25, 8192, 100_000
 #: Queries, about, that one pass of the exact search compares with all rows.
 BLOCK = 2048
 
@@ -248,10 +249,10 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
         hashes, sets = Hashes(dim, m), template(m, PROBES)
         if not pairs:
             break
-        visited = hashes.probes(q, sets)
+        visited = np.concatenate([hashes.probes(q[i : i + 4], sets) for i in range(0, len(q), 4)])
         goal = hashes.own(unit(np.array([v for _, v in pairs])))
-        found = visited[[place[i] for i, _ in pairs]] == goal[:, :, None]
-        rank = np.where(found.any(2), found.argmax(2), len(sets)).min(1)
+        found = (visited[place[i]] == g[:, None] for (i, _), g in zip(pairs, goal))
+        rank = np.array([np.where(f.any(1), f.argmax(1), len(sets)).min() for f in found])
         enough = int(np.sort(rank)[min(len(rank) - 1, math.ceil(RECALL * len(rank)) - 1)]) + 1
         if enough <= len(sets):
             sets = sets[:enough]
@@ -266,7 +267,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     split = max(SPLIT, n * TABLES // SPLITS)
     large = rows.select("v").mapInArrow(keys, "key long").groupBy("key").count().filter(F.col("count") > split).collect()
     hot = np.array(sorted((r["key"] & (1 << 64) - 1, -(-r["count"] // split)) for r in large), np.uint64).reshape(-1, 2)
-    parts = max(1, n * TABLES // PART)
+    parts = max(1, n * TABLES * dim * 8 // PART)
 
     def salts(key: np.ndarray) -> np.ndarray:
         """Into how many each bucket is split."""
@@ -297,8 +298,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
                     salt = (mix64(ids.astype(np.uint64))[row] % salts(key).astype(np.uint64)).astype(np.int64)
                     yield sent(0, ids, m, row, salted(key, salt))
                     asked = np.flatnonzero(np.asarray(piece.column(2)))
-                    for i in range(0, len(asked), 16):
-                        some = asked[i : i + 16]
+                    for i in range(0, len(asked), 4):
+                        some = asked[i : i + 4]
                         key = hashes.probes(u[some], sets).ravel()
                         times = salts(key)
                         row = np.repeat(np.repeat(some, TABLES * len(sets)), times)
