@@ -644,4 +644,5 @@ for _f, _sql in _REGISTERED.items():
 HEADLINE = (
     "box_read_2d", "box_read_steps", "points_read_nd", "block_read", "query_and", "query_nested", "query_two_vars_box", "query_table_columns", "query_fill_box", "query_batches",
     "minmax_lt", "minmax_and", "stats_block", "stats_levels", "histogram_range", "correlation_lag", "slice_stride", "joined_array", "step_split", "compare_fuzz", "reblock", "stored_round_trip",
+    "minmax_stored", "stats_stored", "absolute_blocks_gap", "batch_joined", "minmax_batch", "slice_steps", "stream_query",
 )
