@@ -6,7 +6,7 @@ start at the merged position and at its left neighbour are ranked anew. Short pi
 trees, one row each; long pieces use one tree each.
 
 Defined results: a null text is the empty text with no tokens; repeated rows give repeated equal rows; a piece of any
-length costs O(n log n).
+length costs O(n log n); an empty table gives no rows; other columns, of whatever name, are left aside.
 """
 
 from __future__ import annotations

@@ -1,11 +1,13 @@
 """Operator 3, media columns: texts stored as lossless WebP images and read back inside Spark tasks.
 
-``decode`` reads any lossless WebP (VP8L) file: prefix codes, meta prefix codes, back-references, colour cache, and the
+``decode`` reads plain lossless WebP (VP8L) files, not the extended container: prefix codes, meta prefix codes, back-references, colour cache, and the
 predictor, cross-colour, subtract-green and palette transforms. ``encode_samples`` stores 8-bit samples, one in the
 green channel of each pixel, with prefix codes and back-references, or through a palette where few values occur.
 
 Defined results: a null text is the empty text; the payload is never empty (at least 64 zero bytes); equal texts give
-equal rows; payloads over ``STRIP`` bytes become several images, one after the other; repeated rows stay.
+equal rows; payloads over ``STRIP`` bytes become several images, one after the other, so a text of any length needs the
+memory of one strip; repeated rows stay; an empty table gives no rows; other columns, of whatever name, are left aside by
+``store`` and kept by ``pixels``.
 """
 
 from __future__ import annotations
