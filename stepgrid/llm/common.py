@@ -32,8 +32,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder; set one only where the session has none (tests)."""
+def materialise(df: DataFrame, rows: int | None = None, each: int = ROWS) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder; set one only where the session has none (tests). A table
+    known to have at most so many rows is read back ``sized``."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -41,7 +42,8 @@ def materialise(df: DataFrame) -> DataFrame:
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or os.path.join(os.environ.get("TMPDIR", "/tmp"), "checkpoints"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    return done if rows is None else sized(done, rows, each)
 
 
 def keyed(id_col: str, text_col: str) -> list[Column]:
@@ -51,8 +53,8 @@ def keyed(id_col: str, text_col: str) -> list[Column]:
 
 
 def sized(df: DataFrame, rows: int, each: int = ROWS) -> DataFrame:
-    """A table known to have at most so many rows, in no more partitions than these need. Many small stages otherwise
-    write as many files as they have partitions, each of next to nothing."""
+    """A stored table known to have at most so many rows, in no more partitions than these need. Many small stages
+    otherwise write as many files as there are shuffle partitions, each of next to nothing."""
     return df.coalesce(max(1, -(-rows // each)))
 
 

@@ -26,7 +26,7 @@ from .common import held_out, mix64, slices, steps, sum_vectors
 
 BINS = 4096
 #: Texts whose vectors are held at once.
-ROWS = 512
+ROWS = 256
 #: Centroids of a language, and training rows of a language that k-means starts from (a bound, about).
 CENTROIDS, SAMPLE = 4, 400
 #: Share of a language's training rows that may lie beyond its rejection distance, before REJECT_MARGIN.

@@ -181,16 +181,16 @@ def components(edges: DataFrame) -> DataFrame:
         now = sized(now, seen[0])
         both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         # A hub's many neighbours are larger than it: this join may be skewed, the next one has few rows a key.
-        large = attach(both, materialise(sized(star(both), 2 * seen[0])), "a", 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-        large = materialise(sized(large.distinct(), seen[0]))
-        small = sized(large.join(star(large).hint("merge"), "a"), seen[0])
+        large = attach(both, materialise(star(both), 2 * seen[0]), "a", 2 * seen[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+        large = materialise(large, 2 * seen[0])
+        small = large.join(star(large).hint("merge"), "a")
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
-        now = materialise(sized(small, seen[0]))
+        now = materialise(small, 2 * seen[0])
         if (got := mark(now)) == seen:
             break
         seen = got
     members, roots = now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "v"), now.select(F.col("b").alias("v"), F.col("b").alias("label")).distinct()
-    return sized(members.unionByName(roots), 2 * seen[0])
+    return members.unionByName(roots)
 
 
 def candidates(nodes: DataFrame, texts_of) -> DataFrame:
@@ -200,34 +200,35 @@ def candidates(nodes: DataFrame, texts_of) -> DataFrame:
     level, texts = 1, None
     while True:
         number, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("paths")), F.lit(0))).first()
+        nodes = sized(nodes, number, ROWS // 8)
         counts = nodes.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        counts = materialise(sized(counts, total))
-        each = materialise(sized(nodes, number, ROWS // 8).withColumn("paths", Sieve(counts, "path").passing(F.col("paths"))).filter(F.size("paths") > 0))
-        shared = materialise(sized(attach(each.select("v", "n", "s1", "s2", F.explode("paths").alias("path")), counts, "path", total), total))
+        counts = materialise(counts, total)
+        each = materialise(nodes.withColumn("paths", Sieve(counts, "path").passing(F.col("paths"))).filter(F.size("paths") > 0))
+        shared = materialise(attach(each.select("v", "n", "s1", "s2", F.explode("paths").alias("path")), counts, "path", total), total)
         # A small bucket is one short list; its pairs are made and compared in place.
-        members = sized(shared.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("v", "n", "s1", "s2"))).alias("all")), total)
+        members = shared.filter(F.col("size") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("v", "n", "s1", "s2"))).alias("all"))
         ahead = members.select("all", F.posexplode("all").alias("at", "x"))
         pairs = ahead.select("x", F.explode(F.slice("all", F.col("at") + 2, SMALL)).alias("y"))
         edges.append(pairs.filter(alike("x", "y")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
         hot = shared.filter(F.col("size") > SMALL).select("path", "size", F.struct("v", "n", "s1", "s2").alias("x"))
         if hot.isEmpty():
             break
-        pivots = materialise(sized(hot.groupBy("path").agg(F.min("x").alias("pivot"), F.first("size").alias("size")), total))
+        pivots = materialise(hot.groupBy("path").agg(F.min("x").alias("pivot"), F.first("size").alias("size")), total)
         hot = attach(hot.drop("size"), pivots, "path", total).select("path", "size", "x.v", F.col("pivot.v").alias("pivot"), alike("x", "pivot").alias("near"))
-        hot = materialise(sized(hot, total))
+        hot = materialise(hot, total)
         edges.append(hot.filter("near").select(F.col("v").alias("a"), F.col("pivot").alias("b")))
         # A bucket without a better split is one candidate group, which the exact comparison takes apart block by block.
         whole = F.lit(True) if level >= DEEPEST else (F.col("like") >= DENSE * F.col("size")) & F.lit(level > 1)
         mixed = hot.groupBy("path").agg(F.count_if("near").alias("like"), F.first("size").alias("size")).filter(F.col("like") < F.col("size"))
-        mixed = materialise(sized(mixed.select("path", "size", whole.alias("whole")), total))
-        rest = materialise(sized(attach(hot.drop("size"), mixed, "path", total), total))
+        mixed = materialise(mixed.select("path", "size", whole.alias("whole")), total)
+        rest = materialise(attach(hot.drop("size"), mixed, "path", total), total)
         edges.append(rest.filter("whole and not near").select(F.col("v").alias("a"), F.col("pivot").alias("b")))
         left = rest.filter("not whole")
         if left.isEmpty():
             break
-        again = sized(left.groupBy("v").agg(F.collect_list("path").alias("roots")), total)
+        again = left.groupBy("v").agg(F.collect_list("path").alias("roots"))
         if texts is None:
-            texts = materialise(texts_of(again.select("v")))
+            texts = texts_of(again.select("v"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -349,16 +350,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         wanted = materialise(wanted.distinct())
         some = Sieve(wanted.select(F.xxhash64("v").alias("key")), "key")
         found = named.filter(some.passes(F.xxhash64("v"))).groupBy("v").agg(F.first("text").alias("text"))
-        return sized(found.join(wanted.hint("merge"), "v", "left_semi"), some.number, ROWS // 16)
+        return materialise(found.join(sized(wanted, some.number).hint("merge"), "v", "left_semi"), some.number, ROWS // 16)
 
-    labels = materialise(components(materialise(candidates(nodes, texts_of))))
+    labels = materialise(components(candidates(nodes, texts_of)))
+    labels = sized(labels, labels.count())
     links = materialise(verify(labels, texts_of(labels.select("v"))))
     number = links.groupBy("v").agg(F.sum("links").alias("links"))
     joined = components(links.select(F.col("v").alias("a"), F.col("root").alias("b")))
     ids = named.groupBy("v").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     known = materialise(ids.join(joined.hint("merge"), "v", "left").join(number.hint("merge"), "v", "left").select("v", "rep", "copies", F.coalesce("label", "v").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    number = known.count()
+    known = sized(known, number)
     best = known.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "v")).alias("best"), F.count(F.lit(1)).alias("size"))
-    return attach(known, materialise(best), "label", known.count()).select("v", "rep", "copies", F.col("best.v").alias("class_v"), F.col("best.rep").alias("class_id"), "links")
+    return attach(known, materialise(best, number), "label", number).select("v", "rep", "copies", F.col("best.v").alias("class_v"), F.col("best.rep").alias("class_id"), "links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
