@@ -26,7 +26,7 @@ from .common import STEP_BYTES, slices
 #: Longest piece, in bytes, that goes to the shared trees.
 SHORT = 32
 #: Pieces remembered in a worker at most; the memory is emptied when it is full.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 NONE = np.int64(1) << np.int64(62)
 
 

@@ -16,8 +16,8 @@ STEP_BYTES = 1 << 18
 SLICE = 1024
 #: Rows of a partition, about, where a table turns out to be small.
 ROWS = 50_000
-#: A key of more than 1 / HEAVY of all rows is heavy; at any size there are fewer than HEAVY of those.
-HEAVY = 10_000
+#: A key of more than 1 / HEAVY of all rows, and of more than FEW, is heavy; at any size there are fewer than HEAVY of those.
+HEAVY, FEW = 10_000, 1000
 #: 64-bit words of a sieve at most (32 MiB), and bits that a key gets below that.
 SIEVE_WORDS, SIEVE_BITS = 1 << 22, 12
 
@@ -62,7 +62,7 @@ def attach(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFram
     """``rows`` joined with ``values``, a materialised table of one row a key, whose ``size`` is the key's rows out of
     ``total``. Heavy keys, fewer than ``HEAVY``, are joined by broadcast where their rows lie; a shuffle joins the others,
     none of which fills a task."""
-    limit = total // HEAVY
+    limit = max(total // HEAVY, FEW)
     heavy = values.filter(F.col("size") > limit)
     if heavy.isEmpty():
         return rows.join(values.hint("merge"), key)
