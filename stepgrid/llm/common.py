@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most UTF-8 bytes of text that one vectorised step holds at once (a longer single text is a step of its own).
 STEP_BYTES = 1 << 18
-#: Rows of an Arrow batch that are Python objects at a time.
-SLICE = 1024
+#: Texts of an Arrow batch, and rows of one that are Python objects at a time.
+BATCH = SLICE = 1024
 #: Rows of a partition, about, where a table turns out to be small.
 ROWS = 50_000
 #: A key of more than 1 / HEAVY of all rows, and of more than FEW, is heavy; at any size there are fewer than HEAVY of those.
@@ -115,6 +115,15 @@ class Sieve:
         return kept(keys)
 
 
+def in_batches(texts: DataFrame) -> DataFrame:
+    """``texts``, whose session sends them to Python workers in batches of at most ``BATCH`` rows: the usual 10,000 texts
+    of some KB fill a worker and as much memory beside the executor's heap."""
+    conf, key = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return texts
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut so that few rows become Python objects at once."""
     for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, Sieve, Spans, attach, materialise, mix64, sized, slices, steps, words_of
+from .common import ROWS, Sieve, Spans, attach, in_batches, materialise, mix64, sized, slices, steps, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Members of a bucket that is compared pair by pair; path length after which what is left of a bucket counts as one
@@ -337,7 +337,7 @@ def _columns(held: list[tuple[bytes, int, str]]) -> tuple[list[bytes], np.ndarra
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(v, rep, copies, class_v, class_id, links) of every different text."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), identity(F.col(text_col).cast("string")).alias("v"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    named = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), identity(F.col(text_col).cast("string")).alias("v"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

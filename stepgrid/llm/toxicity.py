@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, held_out, slices, steps, sum_vectors, words_of
+from .common import Spans, held_out, in_batches, slices, steps, sum_vectors, words_of
 
 #: Labelled rows that the classifier is fitted on, about (a bound on the sample).
 TRAIN_ROWS = 12_000
@@ -287,7 +287,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Count characters over all texts; fit stems on a bounded sample of the labelled rows that are not held out."""
     text = F.col(text_col).cast("string").alias("text")
-    characters = log_model(trigram_counts(docs.select(text)))
+    characters = log_model(trigram_counts(in_batches(docs).select(text)))
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     n = known.count()
     part = min(1.0, TRAIN_ROWS / max(1, n))
@@ -361,4 +361,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out[at : at + len(part)] = 1 / (1 + np.exp(-(x @ model.weights).clip(-40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array((out >= 0.5).astype(np.int32))], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

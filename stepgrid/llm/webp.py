@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import Spans
+from .common import Spans, in_batches
 
 # Fixed values of the lossless WebP bitstream: order of the code length codes, and the (x, y) offsets of the 120 short
 # distance codes.
@@ -663,7 +663,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 a, b, c = zip(*rows)
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["id", "n_bytes", "payload_bytes", "media"])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, MEDIA.format(id="id"))
+    return in_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, MEDIA.format(id="id"))
 
 
 #: Pixels that one batch of the decode operator holds before it is handed on.
