@@ -211,6 +211,12 @@ def _runs(texts: list[str | None]) -> Iterator[list[str]]:
         yield run
 
 
+def forget() -> None:
+    """Give back what a task has loaded and merged: its worker lives on, and other operators need the memory."""
+    encoder.cache_clear()
+    vocabulary.cache_clear()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the token ids of each whole text, as little-endian unsigned 32-bit integers (``ids`` binary)."""
 
@@ -255,6 +261,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 columns = [batch.column(0).slice(at, len(ids)), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(sha), pa.array(back)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += len(ids)
-        e.known.clear()  # a worker lives on, and other operators need its memory
+        forget()
 
     return in_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
