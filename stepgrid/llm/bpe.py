@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import STEP_BYTES, in_batches, slices
+from .common import STEP_BYTES, give_back, in_batches, slices
 
 #: Longest piece, in bytes, that goes to the shared trees.
 SHORT = 32
@@ -215,6 +215,7 @@ def forget() -> None:
     """Give back what a task has loaded and merged: its worker lives on, and other operators need the memory."""
     encoder.cache_clear()
     vocabulary.cache_clear()
+    give_back()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -102,7 +104,8 @@ class Sieve:
         return passed(key)
 
     def passing(self, keys: Column) -> Column:
-        """The keys of an array that pass."""
+        """The keys of an array that pass. Not deterministic for Spark, which else runs it once more in each filter on its
+        result, in Python workers of its own."""
 
         @F.arrow_udf("array<long>")
         def kept(lists: pa.Array) -> pa.Array:
@@ -112,7 +115,7 @@ class Sieve:
             offsets = np.asarray(lists.offsets)
             return pa.ListArray.from_arrays(pa.array(upto[offsets - offsets[0]], pa.int32()), pa.array(values[good]))
 
-        return kept(keys)
+        return kept.asNondeterministic()(keys)
 
 
 def in_batches(texts: DataFrame) -> DataFrame:
@@ -146,6 +149,13 @@ def steps(texts: list[str | None], limit: int = STEP_BYTES, rows: int | None = N
         yield first, run
 
 
+def give_back() -> None:
+    """Return the memory that a task has freed to the system: its worker lives on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

@@ -116,14 +116,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, SAMPLE / numbers[k]))))
     sample = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).groupBy("lang")
 
-    def centres(frame):
-        import pandas as pd
+    # In Arrow: pandas, once loaded, stays in a worker.
+    def centres(sampled: pa.Table) -> pa.Table:
+        c = _kmeans(np.concatenate([vectors(run, idf) for _, run in steps(_lower(sorted(sampled["text"].to_pylist())), rows=ROWS)]), CENTROIDS)
+        return pa.table({"lang": [sampled["lang"][0].as_py()] * len(c), "k": pa.array(range(len(c)), pa.int32()), "vec": pa.array([x.astype(np.float32).tobytes() for x in c], pa.binary())})
 
-        frame = frame.sort_values(["text"])
-        c = _kmeans(np.concatenate([vectors(run, idf) for _, run in steps(_lower(frame["text"].tolist()), rows=ROWS)]), CENTROIDS)
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "k": range(len(c)), "vec": [x.astype(np.float32).tobytes() for x in c]})
-
-    first = sorted((r.lang, r.k, r.vec) for r in sample.applyInPandas(centres, "lang string, k int, vec binary").collect())
+    first = sorted((r.lang, r.k, r.vec) for r in sample.applyInArrow(centres, "lang string, k int, vec binary").collect())
     start = {k: np.stack([np.frombuffer(v, np.float32) for l, _, v in first if l == k]) for k in {l for l, _, _ in first}}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +29,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK, SHARD, SHARDS = 64, 8192, 10_000
 #: Documents of a bucket of the two-level running sum, about; most sources.
 BUCKET, SOURCES = 4000, 100_000
+#: Columns of what each output shard takes of each source.
+COUNTS = ("shard", "src", "first", "n")
 
 
 def size(text: Column) -> Column:
@@ -55,7 +56,7 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     return out
 
 
-def draw(slots: list[int], seed: int) -> pd.DataFrame:
+def draw(slots: list[int], seed: int) -> pa.Table:
     """shard, src, first, n: how many blocks each output shard takes of each source, and the first of its slots."""
     left, rng, shard, rows = np.array(slots, np.int64), np.random.default_rng(seed), 0, []
     each = max(SHARD, -(-int(left.sum()) // SHARDS))
@@ -67,7 +68,7 @@ def draw(slots: list[int], seed: int) -> pd.DataFrame:
         given += n
         left -= n
         shard += 1
-    return pd.DataFrame(rows, columns=["shard", "src", "first", "n"]).astype("int64")
+    return pa.table(dict(zip(COUNTS, np.array(rows, np.int64).reshape(-1, len(COUNTS)).T)))
 
 
 def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -117,7 +118,18 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = (5, 2, 1),
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(found))])
     blocks = [-(-n // BLOCK) for n in sizes]
     slots = [min(round(t / n * b), 2 * b) if n else 0 for t, n, b in zip(wanted, sizes, blocks)]
-    known = spark.createDataFrame([(r.source, i, n, t, b, -(-r.docs // BUCKET)) for i, (r, n, t, b) in enumerate(zip(found, sizes, wanted, blocks))], "source string, src int, source_size long, target double, blocks long, buckets long")
+    # Arrow tables: lists of rows would start Python workers of a second kind, which stay beside the others.
+    known = pa.table(
+        {
+            "source": pa.array([r.source for r in found], pa.string()),
+            "src": pa.array(range(len(found)), pa.int32()),
+            "source_size": pa.array(sizes, pa.int64()),
+            "target": pa.array(wanted, pa.float64()),
+            "blocks": pa.array(blocks, pa.int64()),
+            "buckets": pa.array([-(-r.docs // BUCKET) for r in found], pa.int64()),
+        }
+    )
+    known = spark.createDataFrame(known)
 
     # Running sums in two levels, so that a large source is many windows.
     rows = sized.join(known.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source").withColumn("bucket", F.pmod(F.xxhash64("key", "key2"), F.col("buckets")))
@@ -128,7 +140,7 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[float, ...] = (5, 2, 1),
     placed = placed.select("key", "key2", "doc_id", "size", "source_size", "target", "src", "start")
 
     drawn = draw(slots, seed)
-    counts = spark.createDataFrame(drawn, "shard long, src long, first long, n long") if len(drawn) else spark.createDataFrame([], "shard long, src long, first long, n long")
+    counts = spark.createDataFrame(drawn)
     number = np.array(blocks, np.int64)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
